@@ -81,7 +81,7 @@ z AS (SELECT report_id, signal_no, sig, CASE WHEN json_type(sig -> '$.resolved')
         ELSE sig -> '$.resolved' END AS res FROM g)
 SELECT report_id, CAST(signal_no AS INTEGER) AS signal_no, sig ->> '$.name' AS name, sig ->> '$.morphology' AS morphology,
   TRY_CAST(res ->> '$.start_s' AS DOUBLE) AS start_s, TRY_CAST(res ->> '$.duration_s' AS DOUBLE) AS duration_s,
-  TRY_CAST(res ->> '$.start_freq_hz' AS DOUBLE) AS start_freq_hz, TRY_CAST(res ->> '$.drift_hz_per_s' AS DOUBLE) AS drift_hz_per_s,
+  TRY_CAST(res ->> '$.start_freq_hz' AS DOUBLE) AS start_freq_hz, TRY_CAST(res ->> '$.drift_hz_per_s' AS DOUBLE) + 0.0 AS drift_hz_per_s,
   TRY_CAST(res ->> '$.snr_db' AS DOUBLE) AS snr_db, CAST(TRY_CAST(res ->> '$.start_row' AS DOUBLE) AS BIGINT) AS start_row FROM z""",
     "p4_reports": _P4 + """
 SELECT report_id, j ->> '$.plan_name' AS plan_name, TRY_CAST(j ->> '$.rows' AS BIGINT) AS n_rows, j ->> '$.observation.obs_id' AS obs_id,
