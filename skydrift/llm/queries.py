@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skydrift.llm import nearest, topn
+from skydrift.llm import duplicates, nearest, topn
 from skydrift.tables import canonical_obs, table
 
 ROW_S = 65.536e-6
@@ -15,6 +15,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.latest_versions(table(spark, sf_dir, "track_events")).withColumn("obs_id", canonical_obs(F.col("obs_id")))
 
 
+#: The order in which fields decide, and how a claim about them votes.
+ORDER = {"refined_snr": "at_least", "incoherent_snr": "at_least", "row0": "at_most"}
+
+
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.coalesce("refined_freq_hz", "freq_hz")
+    rows = table(spark, sf_dir, "hits").where(F.col("coarse_channel").between(0, 255)).select(
+        "hit_id", canonical_obs(F.col("obs_id")).alias("obs_id"), "coarse_channel", "row0", "row1", f.alias("f"),
+        F.col("run_id").alias("source"), "refined_snr", "incoherent_snr")
+    return duplicates.detection_groups(rows, ["obs_id", "coarse_channel"])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving hit of each detection of two or more rows."""
+    return duplicates.best_representatives(_detections(spark, sf_dir), ORDER).select("hit_id")
+
+
+def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection's best supported value of every field, taken field by field."""
+    out = duplicates.best_representatives(_detections(spark, sf_dir), ORDER)
+    return out.select("hit_id", "best_refined_snr", "best_incoherent_snr", F.col("best_row0").cast("bigint").alias("best_row0"), "n_rows")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best events of each observation."""
     return topn.top_n(_events(spark, sf_dir), "obs_id", "score", "event_id", 10).select("obs_id", "event_id")
@@ -33,12 +56,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("signal_id"), F.col("rid").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found)}
 
 _EVENTS = """e AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o FROM track_events
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
 
+_P1 = """
+WITH RECURSIVE h AS (SELECT hit_id, lower(trim(replace(obs_id, '-', '_'))) AS o, coarse_channel AS c, row0, row1, coalesce(refined_freq_hz, freq_hz) AS f,
+    CASE WHEN isnan(refined_snr) THEN NULL ELSE refined_snr END AS rs, CASE WHEN isnan(incoherent_snr) THEN NULL ELSE incoherent_snr END AS s
+  FROM hits WHERE coarse_channel BETWEEN 0 AND 255 AND row1 > row0 AND obs_id IS NOT NULL AND coalesce(refined_freq_hz, freq_hz) IS NOT NULL),
+l AS (SELECT a.hit_id AS a, b.hit_id AS b FROM h a JOIN h b ON a.o = b.o AND a.c = b.c AND a.hit_id <> b.hit_id AND abs(a.f - b.f) <= 20
+  AND least(a.row1, b.row1) - greatest(a.row0, b.row0) > 0.5 * least(a.row1 - a.row0, b.row1 - b.row0)),
+r AS (SELECT DISTINCT a AS root, a AS n FROM l UNION SELECT r.root, l.b FROM r JOIN l ON r.n = l.a),
+g AS (SELECT n AS hit_id, min(root) AS g FROM r GROUP BY 1)"""
+
 SQL = {
+    "p1_found": _P1 + """
+SELECT hit_id FROM g JOIN h USING (hit_id)
+QUALIFY row_number() OVER (PARTITION BY g ORDER BY rs DESC NULLS LAST, s DESC NULLS LAST, row0, hit_id) = 1""",
+    "p1_fused": _P1 + """
+SELECT arg_min(hit_id, k) AS hit_id, max(rs) AS best_refined_snr, max(s) AS best_incoherent_snr, min(row0) AS best_row0, count(*) AS n_rows
+FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rs DESC NULLS LAST, s DESC NULLS LAST, row0, hit_id) AS k FROM g JOIN h USING (hit_id)) GROUP BY g""",
     "p2_found": f"""
 WITH {_EVENTS} SELECT o AS obs_id, event_id FROM e WHERE score IS NOT NULL AND isfinite(score)
 QUALIFY row_number() OVER (PARTITION BY o ORDER BY score DESC, event_id) <= 10""",
