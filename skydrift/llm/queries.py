@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skydrift.llm import duplicates, nearest, topn
+from skydrift.llm import duplicates, leaks, mojibake, nearest, topn
 from skydrift.tables import canonical_obs, table
 
 ROW_S = 65.536e-6
@@ -56,7 +56,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("signal_id"), F.col("rid").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items of which twelve consecutive words stand in them."""
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents any of whose text was wrongly decoded."""
+    return mojibake.affected(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled words of each document and what they said."""
+    words = mojibake.garbled_words(table(spark, sf_dir, "documents"))
+    return words.select("doc_id", "word", "n", "chain", "restored", "lost")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found, p8_found, p9_found, p9_restored)}
 
 _EVENTS = """e AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o FROM track_events
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
