@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skydrift.llm import duplicates, leaks, mojibake, nearest, topn
+from skydrift.llm import duplicates, leaks, mojibake, nearest, packing, topn
 from skydrift.tables import canonical_obs, table
 
 ROW_S = 65.536e-6
@@ -56,6 +56,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("signal_id"), F.col("rid").alias("event_id"))
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place in containers of 2048 tokens."""
+    return packing.packed(packing.measured(table(spark, sf_dir, "documents")))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by how many tokens they hold, in sixteenths of their capacity."""
+    boxes = p7_packed(spark, sf_dir).groupBy("container_id").agg(F.sum("size").alias("tokens"))
+    return boxes.groupBy(F.floor(F.col("tokens") / 128).cast("int").alias("sixteenths")).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which twelve consecutive words stand in them."""
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -72,7 +84,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "word", "n", "chain", "restored", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found, p7_packed, p7_fill, p8_found, p9_found, p9_restored)}
 
 _EVENTS = """e AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o FROM track_events
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
