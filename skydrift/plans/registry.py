@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skydrift.plans import data_problems
+from skydrift.plans import data_problems, spectral, tracks
 
-MODULES = [data_problems]
-FLAGSHIP = "p3_found"
+MODULES = [data_problems, spectral, tracks]
+FLAGSHIP = "drift_hits"
 
 
 def queries() -> dict[str, Callable]:
