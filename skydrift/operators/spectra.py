@@ -57,12 +57,8 @@ def running_median(values: np.ndarray, size: int) -> np.ndarray:
     size = min(max(3, size | 1), n if n % 2 else n - 1) if n > 2 else 1
     if size < 3:
         return values.copy()
-    padded = np.pad(values, size // 2, mode="edge")
-    out = np.empty(n)
-    view = np.lib.stride_tricks.sliding_window_view(padded, size)
-    for a in range(0, n, 4096):  # the window matrix isn't held whole
-        out[a:a + 4096] = np.median(view[a:a + 4096], axis=1)
-    return out
+    padded = pd.Series(np.pad(values, size // 2, mode="edge"))
+    return padded.rolling(size).median().to_numpy()[size - 1:]
 
 
 def bin_medians(b: DataFrame, keys: list[str]) -> DataFrame:
