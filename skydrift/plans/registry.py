@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from skydrift.plans import data_problems, spectral, tracks, truth
+from skydrift.plans import data_problems, spectral, streams, tracks, truth
 
-MODULES = [data_problems, spectral, tracks, truth]
+MODULES = [data_problems, spectral, tracks, truth, streams]
 FLAGSHIP = "drift_hits"
 
 
