@@ -23,8 +23,8 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.coalesce("refined_freq_hz", "freq_hz")
     rows = table(spark, sf_dir, "hits").where(F.col("coarse_channel").between(0, 255)).select(
         "hit_id", canonical_obs(F.col("obs_id")).alias("obs_id"), "coarse_channel", "row0", "row1", f.alias("f"),
-        F.col("run_id").alias("source"), "refined_snr", "incoherent_snr")
-    return duplicates.detection_groups(rows, ["obs_id", "coarse_channel"])
+        F.col("run_id").alias("source"), "refined_snr", "incoherent_snr")  # row0 is there as a bound
+    return duplicates.detection_groups(rows, ["obs_id", "coarse_channel"], ["source", "refined_snr", "incoherent_snr"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
