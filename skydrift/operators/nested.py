@@ -67,12 +67,20 @@ def merged_schema(df: DataFrame, doc: str) -> dict:
     return kind()
 
 
-def record_paths(schema: dict, marks: set[str], path: str = "$") -> list[str]:
-    """Paths of the objects that hold any of the ``marks``, shallow ones first."""
+def record_paths(df: DataFrame, doc: str, marks: set[str], path: str = "$", schema=None) -> list[str]:
+    """Paths of the objects that hold any of the ``marks``, shallow ones first in each branch.
+
+    Where a field isn't an object in all documents, the merged schema of those in which it is one is taken.
+    """
+    if schema is None:
+        v = F.try_variant_get(doc, path, "variant")
+        objects = df.select(v.alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+        schema = merged_schema(objects, "v")
     if not isinstance(schema, dict):
         return []
     here = [path] if marks & set(schema) else []
-    return here + [p for f, s in schema.items() if f not in marks for p in record_paths(s, marks, f"{path}.{f}")]
+    below = [(f, None if s == "VARIANT" else s) for f, s in schema.items() if f not in marks and (s == "VARIANT" or isinstance(s, dict)) and re.fullmatch(r"\w+", f)]
+    return here + [p for f, s in below for p in record_paths(df, doc, marks, f"{path}.{f}", s)]
 
 
 def unwrap(doc: Column, paths: list[str]) -> Column:
@@ -119,7 +127,7 @@ def shred(records: DataFrame, key: str, marks: set[str], levels: list[Level]) ->
 
     ``records`` has the key and a VARIANT ``doc``. A level that the merged schema doesn't have gives an empty table.
     """
-    paths = record_paths(merged_schema(records, "doc"), marks)
+    paths = record_paths(records, "doc", marks)
     root = records.select(key, unwrap(F.col("doc"), paths).alias("doc"))
     tables, keys = {"": root}, [key]
     for n, level in enumerate(levels):

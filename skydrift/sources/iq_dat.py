@@ -146,6 +146,7 @@ class IqDatReader(DataSourceReader):
 
 def load(spark: SparkSession, observations: list[dict], contract: Contract, tile: int, overlap: int, channels: list[int] | None = None) -> DataFrame:
     """Tiles of recordings; see ``IqDatSource``."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(IqDatSource)
     given = [{"obs_id": o["obs_id"], "dat_paths": [str(p) for p in o["dat_paths"]]} for o in observations]
     reader = spark.read.format("iq_dat").option("observations", json.dumps(given)).option("contract", json.dumps(asdict(contract)))
