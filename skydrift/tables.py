@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -34,18 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and what reads it
-    twice doesn't compute it twice. Columnar and compressed, so it takes less disk than checkpoint()."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    twice doesn't compute it twice. Columnar and compressed, so it takes less disk than checkpoint().
+    An application's tables are in one folder, which is deleted when its driver ends."""
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if not getattr(spark.sparkContext, "_skydrift_tables", False):
+        spark.sparkContext._skydrift_tables = True
+        atexit.register(_delete, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._skydrift_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session may be gone already; the folder then stays
+        pass
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing reads any more (the older states of a loop)."""
     path = getattr(df, "_skydrift_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
