@@ -87,9 +87,9 @@ SELECT report_id, CAST(signal_no AS INTEGER) AS signal_no, sig ->> '$.name' AS n
 SELECT report_id, j ->> '$.plan_name' AS plan_name, TRY_CAST(j ->> '$.rows' AS BIGINT) AS n_rows, j ->> '$.observation.obs_id' AS obs_id,
   TRY_CAST(j ->> '$.contract.channelizer_fft' AS BIGINT) AS channelizer_fft FROM r""",
     "p5_found": f"""
-WITH h AS (SELECT {_OBS} AS obs_id, coarse_channel, row0, row1 FROM hits WHERE coarse_channel BETWEEN 0 AND 255 AND row1 > row0 AND obs_id IS NOT NULL),
-m AS (SELECT *, max(row1) OVER (PARTITION BY obs_id, coarse_channel ORDER BY row0, row1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
-i AS (SELECT *, sum(CASE WHEN before IS NULL OR before < row0 THEN 1 ELSE 0 END) OVER (PARTITION BY obs_id, coarse_channel ORDER BY row0, row1 ROWS UNBOUNDED PRECEDING) AS k FROM m),
+WITH h AS (SELECT {_OBS} AS obs_id, coarse_channel, row0, row1, hit_id FROM hits WHERE coarse_channel BETWEEN 0 AND 255 AND row1 > row0 AND obs_id IS NOT NULL),
+m AS (SELECT *, max(row1) OVER (PARTITION BY obs_id, coarse_channel ORDER BY row0, row1, hit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR before < row0 THEN 1 ELSE 0 END) OVER (PARTITION BY obs_id, coarse_channel ORDER BY row0, row1, hit_id ROWS UNBOUNDED PRECEDING) AS k FROM m),
 p AS (SELECT obs_id, coarse_channel, k, min(row0) AS row0, max(row1) AS row1, count(*) AS n FROM i GROUP BY ALL),
 g AS (SELECT obs_id, coarse_channel, lag(row1) OVER (PARTITION BY obs_id, coarse_channel ORDER BY row0) AS row0, row0 AS row1 FROM p)
 SELECT obs_id, coarse_channel, 'period' AS kind, row0, row1 FROM p WHERE n >= 2
