@@ -55,6 +55,12 @@ def match(signals: DataFrame, events: DataFrame) -> DataFrame:
     return assign(p, "signal_id", "event_id", ["match_score", "signal_id", "event_id"])
 
 
+def truth_of_events(signals: DataFrame, events: DataFrame) -> DataFrame:
+    """(event_id, signal_id, match_score): of each event the signal with the lowest score, ties by signal; tolerance doesn't decide."""
+    best = pairs(signals, events).groupBy("event_id").agg(F.min(F.struct("match_score", "signal_id")).alias("b"))
+    return best.select("event_id", "b.signal_id", "b.match_score")
+
+
 def three_way(signals: DataFrame, events: DataFrame, matched: DataFrame) -> DataFrame:
     """(signal_id, event_id, match_status): every signal and every event once, matched or alone."""
     m = matched.select("signal_id", "event_id")

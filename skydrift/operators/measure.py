@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skydrift.functions import exprs as X
-from skydrift.params import Measurement
+from skydrift.params import Contract, Measurement
 
 
 def enbw_bins(nfft: int, kind: str) -> float:
@@ -35,6 +35,13 @@ def ridge_width(width_hz: Column, event_bins: Column, df_hz: float, cfg: Measure
     return F.greatest(F.lit(cfg.min_ridge_bins), F.least(F.lit(cfg.max_ridge_bins), w)).cast("int")
 
 
+def choose_channel(representative: Column, freq: Column, lo_hz: Column, start_channel: Column, contract: Contract) -> Column:
+    """Channel in which an event is measured: its representative one if in range, else the nearest to its frequency, else the middle."""
+    at = F.ceil((freq - lo_hz) / F.lit(contract.df_hz) - start_channel - 0.5)
+    near = F.greatest(F.lit(0), F.least(F.lit(contract.channels - 1), at))
+    return F.coalesce(F.when(representative.between(0, contract.channels - 1), representative), near, F.lit(contract.channels // 2)).cast("int")
+
+
 def nearest_bin(x: Column, n: Column) -> Column:
     """Bin nearest to a place in bins, the lower on ties, within 0..n-1."""
     return F.greatest(F.lit(0), F.least(n - 1, F.ceil(x - 0.5))).cast("int")

@@ -150,10 +150,11 @@ def event_frames(spark: SparkSession, evts: DataFrame, observations: list[dict],
     obs = observations_table(spark, observations, cfg)
     total = F.aggregate("segment_rows", F.lit(0).cast("long"), lambda a, x: a + x)
     nfft = cfg.search_stft.nfft
-    e = evts.join(obs.select("obs_id", total.alias("total")), "obs_id")
+    e = evts.join(obs.select("obs_id", total.alias("total"), "lo_hz", "start_coarse_channel"), "obs_id")
+    e = e.withColumn("channel", measure.choose_channel(F.col("representative_coarse_channel"), F.col("freq_hz"), F.col("lo_hz"), F.col("start_coarse_channel"), cfg.contract))
     row1 = F.least("total", F.greatest("row1", F.col("row0") + nfft))
     e = e.withColumn("row1", row1).withColumn("row0", F.greatest(F.lit(0), F.least("row0", F.col("row1") - nfft))).where(F.col("row1") - F.col("row0") >= nfft)
-    parts = raw.interval_read(raw.stitch(obs), e.select("event_id", "obs_id", F.col("representative_coarse_channel").alias("channel"), "row0", "row1"))
+    parts = raw.interval_read(raw.stitch(obs), e.select("event_id", "obs_id", "channel", "row0", "row1"))
     one = parts.groupBy("event_id", "channel", "row0").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "path", F.col("file_row0").alias("a"), F.col("file_row1").alias("b")))).alias("parts"))
     s = iq_dat.samples_of_parts(one, ["event_id", "row0"], cfg.contract)
     return spectra.stft(s, ["event_id", "row0"], nfft, cfg.search_stft.hop, cfg.search_stft.window)

@@ -154,6 +154,20 @@ def truth_pairs(spark, sf_dir):
     return r(p.select("signal_id", "event_id", "path_max_err_hz", "path_rms_err_hz", "match_score", "within"), "path_max_err_hz", "path_rms_err_hz", "match_score", places=4)
 
 
+def event_truth(spark, sf_dir):
+    """Of each event the signal that it would be measured as."""
+    return r(C.truth_of_events(_truth(spark, sf_dir), _found(spark, sf_dir)), "match_score", places=4)
+
+
+def measured_channels(spark, sf_dir):
+    """Channel in which each event is measured, and the width of its ridge."""
+    o = table(spark, sf_dir, "observations").select("obs_id", F.coalesce("lo_hz", F.lit(1e9)).alias("lo_hz"), F.coalesce("start_coarse_channel", F.lit(512)).alias("start_channel"))
+    e = T.events(spark, sf_dir).join(o, "obs_id")
+    ch = M.choose_channel(F.col("representative_coarse_channel"), F.col("freq_hz"), F.col("lo_hz"), F.col("start_channel"), CONTRACT)
+    width = F.when(F.col("n_hits") > 2, F.col("n_hits") * 4.0)
+    return e.select("event_id", ch.alias("channel"), M.ridge_width(width, F.col("best_width_bins"), CONTRACT.df_hz / 2048, Measurement()).alias("ridge_bins"))
+
+
 def truth_matches(spark, sf_dir):
     """One-to-one pairs, best score first."""
     return r(C.match(_truth(spark, sf_dir), _found(spark, sf_dir)).select("signal_id", "event_id", "match_score"), "match_score")
@@ -183,7 +197,7 @@ def nearest_events(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (local_snr, aligned_profile, profile_evidence, cutout_range, predicted_tracks, review_list, nearest_channels, target_channels,
-                                   instant_frequency, signal_phase, signal_tones, power_plan, clip_summary, injected_samples, truth_pairs, truth_matches,
+                                   instant_frequency, signal_phase, signal_tones, power_plan, clip_summary, injected_samples, truth_pairs, event_truth, measured_channels, truth_matches,
                                    truth_status, truth_quality, truth_calibration, nearest_events)}
 
 _DF = "(1e9::DOUBLE / 65536)"
@@ -257,6 +271,12 @@ SELECT tile, channel, 2 * count(*) AS n_components, CAST(sum((i < -128 OR i > 12
   round(max(greatest(abs(i), abs(q))), 6) + 0.0::DOUBLE AS max_abs, round(sum((i < -128 OR i > 127)::INT + (q < -128 OR q > 127)::INT) / (2 * count(*)), 6) + 0.0 AS clipped_share FROM x GROUP BY ALL""",
     "truth_pairs": _PAIRS + """ SELECT signal_id, event_id, round(mx, 4) + 0.0 AS path_max_err_hz, round(rms, 4) + 0.0 AS path_rms_err_hz,
   round(rms / ft + 0.1 * least(abs(ed - injected_drift_hz_per_s) / dtol, 5) + 0.05 * abs(e1 - e0 - injected_duration_s) / greatest(injected_duration_s, 1), 4) + 0.0 AS match_score, mx <= ft AS within FROM z""",
+    "event_truth": _PAIRS + """, k AS (SELECT *, rms / ft + 0.1 * least(abs(ed - injected_drift_hz_per_s) / dtol, 5) + 0.05 * abs(e1 - e0 - injected_duration_s) / greatest(injected_duration_s, 1) AS sc FROM z)
+SELECT event_id, signal_id, round(sc, 4) + 0.0 AS match_score FROM k QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY sc, signal_id) = 1""",
+    "measured_channels": f"""WITH {T._EV} SELECT event_id, CAST(coalesce(CASE WHEN representative_coarse_channel BETWEEN 0 AND 255 THEN representative_coarse_channel END,
+    greatest(0, least(255, ceil((freq_hz - coalesce(lo_hz, 1e9::DOUBLE)) / {_DF} - coalesce(start_coarse_channel, 512) - 0.5))), 128) AS INTEGER) AS channel,
+  CAST(greatest(1, least(17, CASE WHEN n_hits > 2 THEN ceil(n_hits * 4.0 / ({_DF} / 2048)) ELSE best_width_bins END)) AS INTEGER) AS ridge_bins
+FROM e JOIN observations o ON o.obs_id = lower(trim(replace(e.obs_id, '-', '_')))""",
     "truth_quality": _PAIRS + """ SELECT signal_id, event_id, 'geometry_match_' || CASE WHEN br IS NULL OR isnan(br) OR x IS NULL THEN 'no_snr_measurement' WHEN br <= 0 AND x >= 2 THEN 'low_measured_snr'
   WHEN abs(br - x) <= 3 THEN 'measurement_consistent' WHEN br - x < -3 THEN 'measurement_low' ELSE 'measurement_high' END AS quality FROM z WHERE mx <= ft""",
     "truth_calibration": _PAIRS + """, k AS (SELECT x, br AS y FROM z WHERE mx <= ft AND x IS NOT NULL AND br IS NOT NULL AND NOT isnan(br) AND NOT isnan(x)),
