@@ -11,10 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from skydrift.tables import discard, materialize
 
@@ -68,7 +67,7 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
                 F.when(F.col("rows") <= n, F.array().cast("array<bigint>")).alias("cut"))
     )
     done = [state.where("cut is not null").select(group, "cut")]
-    states, rows = [state], coded.select(group, "code")
+    rows = coded.select(group, "code")
     while True:
         open_ = state.where("cut is null").drop("cut")
         if open_.isEmpty():
@@ -82,7 +81,6 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
         )
         active = materialize(active)
         w, after = word(F.size("prefix")), F.try_element_at("code", F.size("prefix") + 2)
-        width = F.expr(f"(hi - lo) div {1 << STEPS} + 1")
         cells = (
             active.withColumn("cell", F.expr(f"(element_at(code, size(prefix) + 1) - lo) div ((hi - lo) div {1 << STEPS} + 1)"))
             .groupBy(group, "cell")
@@ -104,7 +102,6 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
             F.when(exact, F.concat("prefix", F.array("min"))).alias("cut"),
         ))
         done.append(state.where("cut is not null").select(group, "cut"))
-        states.append(state)
         if rows is not coded:
             discard(rows)
         rows = active.select(group, "code")
