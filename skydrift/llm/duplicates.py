@@ -1,21 +1,20 @@
-"""One surviving record per duplicate group, by iterative truth discovery.
+"""One surviving record per duplicate group, and what the sources say together by iterative truth discovery.
 
 1. Linking. Rows of one observation and channel that lie within 20 Hz and share more than half of the
    shorter row range are one detection. Rows without another row near in frequency drop out first. Rows
    with one frequency cell and one row range are linked with each other by definition: they become one
    node, which keeps copies from being paired. Nodes are joined on time and frequency buckets.
-2. Truth discovery. Each row is a claim of its source (the run) about every field. In turn, each field's
-   best supported value is determined from the votes weighted by the reliability of their sources, and
-   each source's reliability from the share of its claims that hold, until the reliabilities stay the
-   same. How a claim votes is set per field: ``equal`` for its own value; ``at_least`` for its own and every
-   greater value (for a quantity whose best measurement is the greatest, each smaller one bears out that
-   it is at least so great); ``at_most`` for its own and every smaller value. Null and NaN are the least.
-3. The survivor is, among the rows that hold the value of the first field, the one that ranks first by the
-   other fields and the identifier.
+2. The survivor is the row that ranks first by the stated order (greatest or least of each field in turn, then the
+   identifier). Such an order leaves sources no say: the extreme value wins, whoever claims it.
+3. Truth discovery (``supported_values``). Each row is a claim of its source (the run) about every field. In turn, each
+   field's best supported value is determined from the votes weighted by the reliability of their sources, and each
+   source's reliability from the share of its claims that hold, until the reliabilities stay the same. A claim votes
+   for its own value; null and NaN are no claim.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -96,31 +95,28 @@ def detection_groups(rows: DataFrame, keys: list[str], carry: list[str], tol: fl
     return near.join(grouped, node_keys).drop("cell")
 
 
-def discover(claims: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def discover(claims: DataFrame, fields: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """Truth discovery over claims (``g``, ``source`` and the fields).
 
-    fields: how the claims of each field vote: 'equal', 'at_least' or 'at_most'. Returns the truths (g, field, value,
-    support as a share of all votes on it) and the sources (source, reliability). A null source is a source of its own.
-    All values are compared as doubles; of equally supported values the greater is taken (for 'at_most' the smaller).
+    Returns the truths (g, field, value, support as a share of all votes on it) and the sources (source, reliability). A null
+    source is a source of its own. All values are compared as doubles; of equally supported values the greater is taken. A
+    field that nobody claims has no truth.
     """
-    value = [F.struct(F.lit(k).alias("field"), F.lit(how).alias("how"), F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double")).alias("v"))
-             for k, how in fields.items()]
+    value = [F.struct(F.lit(k).alias("field"), F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double")).alias("v")) for k in fields]
     long_ = claims.select("g", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(F.array(*value)).alias("x"))
     # Equal claims of one source are counted, not kept.
-    votes = materialize(long_.select("g", "source", "x.*").groupBy("g", "field", "how", "source", "v").agg(F.count(F.lit(1)).alias("n")))
-    sources = materialize(votes.select("source").distinct().withColumn("reliability", F.lit(0.5)))
-    up = Window.partitionBy("g", "field").orderBy(F.col("v").asc_nulls_first())
-    down = Window.partitionBy("g", "field").orderBy(F.col("v").desc_nulls_first())
+    votes = materialize(long_.select("g", "source", "x.*").where("v is not null").groupBy("g", "field", "source", "v").agg(F.count(F.lit(1)).alias("n")))
+    sources, truths = materialize(votes.select("source").distinct().withColumn("reliability", F.lit(0.5))), None
     total = Window.partitionBy("g", "field")
     for _ in range(MAX_ROUNDS):
-        weighed = (votes.join(sources, "source").groupBy("g", "field", "how", "v").agg(F.sum(F.col("n") * F.col("reliability")).alias("w"))
-                   .withColumn("support", F.when(F.col("how") == "at_least", F.sum("w").over(up))
-                               .when(F.col("how") == "at_most", F.sum("w").over(down)).otherwise(F.col("w")))
+        weighed = (votes.join(sources, "source").groupBy("g", "field", "v").agg(F.sum(F.col("n") * F.col("reliability")).alias("w"))
                    .withColumn("all", F.sum("w").over(total)))
-        rank = F.struct(F.round("support", 9).alias("s"), F.when(F.col("how") == "at_most", -F.col("v")).otherwise(F.col("v")).alias("o"))
-        truths = weighed.groupBy("g", "field").agg(F.max_by(F.struct("v", (F.col("support") / F.col("all")).alias("support")), rank).alias("t"))
-        truths = materialize(truths.select("g", "field", F.col("t.v").alias("value"), F.col("t.support").alias("support")))
-        held = votes.join(truths, ["g", "field"]).withColumn("ok", F.col("v").eqNullSafe(F.col("value")).cast("long") * F.col("n"))
+        rank = F.struct(F.round("w", 9).alias("s"), F.col("v").alias("o"))
+        found = weighed.groupBy("g", "field").agg(F.max_by(F.struct("v", (F.col("w") / F.col("all")).alias("support")), rank).alias("t"))
+        if truths is not None:
+            discard(truths)
+        truths = materialize(found.select("g", "field", F.col("t.v").alias("value"), F.col("t.support").alias("support")))
+        held = votes.join(truths, ["g", "field"]).withColumn("ok", (F.col("v") == F.col("value")).cast("long") * F.col("n"))
         after = materialize(held.groupBy("source").agg(((F.sum("ok") + 1) / (F.sum("n") + 2)).alias("reliability")))
         moved = after.join(sources.withColumnRenamed("reliability", "was"), "source").agg(F.max(F.abs(F.col("reliability") - F.col("was")))).first()[0]
         discard(sources)
@@ -130,23 +126,29 @@ def discover(claims: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, Data
     return truths, sources
 
 
+def supported_values(grouped: DataFrame, places: dict[str, int]) -> DataFrame:
+    """What the sources say together about each group: ``hit_id`` (the lowest of its rows), the best supported value of each
+    field, its share of the weighed votes as ``support_*``, and ``n_rows``.
+
+    grouped: rows of ``detection_groups`` with a ``source``. places: fields with the decimals to which their claims are rounded,
+    so that measurements that differ by less count as one value. Fields that no row claims are null.
+    """
+    claims = materialize(grouped.select("g", "hit_id", "source", *[F.round(F.col(k).cast("double"), n).alias(k) for k, n in places.items()]))
+    truths, _ = discover(claims, places)
+    of = lambda k, c: F.max(F.when(F.col("field") == k, F.col(c)))
+    wide = truths.groupBy("g").agg(*[of(k, "value").alias(k) for k in places], *[of(k, "support").alias(f"support_{k}") for k in places])
+    size = claims.groupBy("g").agg(F.min("hit_id").alias("hit_id"), F.count(F.lit(1)).alias("n_rows"))
+    return size.join(wide, "g", "left").select("g", "hit_id", *places, *[f"support_{k}" for k in places], "n_rows")
+
+
 def best_representatives(grouped: DataFrame, order: dict[str, str]) -> DataFrame:
-    """The surviving row of each group: ``g``, ``hit_id``, the fused value of each field, and ``n_rows``.
+    """The surviving row of each group: ``g``, ``hit_id``, the greatest or least value of each field, and ``n_rows``.
 
-    grouped: rows of ``detection_groups`` with a ``source``. order: fields in the order of their importance, with how
-    their claims vote ('at_least' prefers the greatest, 'at_most' the least). Ties end at the lowest hit_id.
+    grouped: rows of ``detection_groups``. order: fields in the order of their importance; 'at_least' prefers the greatest
+    value, 'at_most' the least. Null and NaN come last. Ties end at the lowest hit_id. Sources have no say in it.
     """
-    claims = materialize(grouped.select("g", "hit_id", "source", *order))
-    truths, _ = discover(claims, order)
-    first, *rest = order
-    fused = truths.groupBy("g").agg(*[F.max(F.when(F.col("field") == k, F.col("value"))).alias(f"best_{k}") for k in order])
-    rows = claims.join(fused, "g")
-    clean = F.nanvl(F.col(first).cast("double"), F.lit(None).cast("double"))
-    keys = []
-    for k in rest:
-        v = F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double"))
-        keys.append((-v if order[k] == "at_most" else v).alias(k))
-    agreeing = F.when(clean.eqNullSafe(F.col(f"best_{first}")), F.struct(*keys, (-F.col("hit_id")).alias("i")))
-    out = rows.groupBy("g").agg(F.max(agreeing).alias("b"), F.count(F.lit(1)).alias("n_rows"),
-                                *[F.first(f"best_{k}").alias(f"best_{k}") for k in order])
+    v = {k: F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double")) for k in order}
+    keys = [(-v[k] if how == "at_most" else v[k]).alias(k) for k, how in order.items()]
+    best = [(F.min(v[k]) if how == "at_most" else F.max(v[k])).alias(f"best_{k}") for k, how in order.items()]
+    out = grouped.groupBy("g").agg(F.max(F.struct(*keys, (-F.col("hit_id")).alias("i"))).alias("b"), *best, F.count(F.lit(1)).alias("n_rows"))
     return out.select("g", (-F.col("b.i")).alias("hit_id"), *[f"best_{k}" for k in order], "n_rows")

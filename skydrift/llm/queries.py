@@ -15,7 +15,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.latest_versions(table(spark, sf_dir, "track_events")).withColumn("obs_id", canonical_obs(F.col("obs_id")))
 
 
-#: The order in which fields decide, and how a claim about them votes.
+#: Decimals to which measurements are rounded before they are compared.
+PLACES = {"refined_snr": 1, "incoherent_snr": 1, "row0": 0}
+#: The order in which fields decide, and whether the greatest or the least is preferred.
 ORDER = {"refined_snr": "at_least", "incoherent_snr": "at_least", "row0": "at_most"}
 
 
@@ -33,11 +35,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each detection's best supported value of every field, taken field by field."""
+    """Each detection's greatest SNR and least row, taken field by field."""
     out = duplicates.best_representatives(_detections(spark, sf_dir), ORDER)
     return out.select("hit_id", "best_refined_snr", "best_incoherent_snr", F.col("best_row0").cast("bigint").alias("best_row0"), "n_rows")
 
 
+def p1_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each detection's best supported value of every field, by votes that the reliability of the runs weighs."""
+    out = duplicates.supported_values(_detections(spark, sf_dir), PLACES)
+    return out.select("hit_id", "refined_snr", "incoherent_snr", F.col("row0").cast("bigint").alias("row0"),
+                      *[F.round(f"support_{k}", 6).alias(f"support_{k}") for k in PLACES], "n_rows")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best events of each observation."""
     return topn.top_n(_events(spark, sf_dir), "obs_id", "score", "event_id", 10).select("obs_id", "event_id")
@@ -84,7 +93,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "word", "n", "chain", "restored", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p2_found, p6_found, p7_packed, p7_fill, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p1_supported, p2_found, p6_found, p7_packed, p7_fill, p8_found, p9_found, p9_restored)}
 
 _EVENTS = """e AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o FROM track_events
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""

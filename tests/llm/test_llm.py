@@ -105,6 +105,26 @@ def test_truth_discovery_learns_which_sources_to_trust(spark):
     assert right >= majority
 
 
+def test_reliable_sources_outvote_an_extreme_value(spark):
+    rows = []
+    for g in range(30):
+        rows += [(g, 10 * g + k, s, v, 200 * max(0, k - 2) + g) for k, (s, v) in enumerate([("a", 20.01), ("b", 20.02), ("c", 20.0), ("wild", 40.0 + g), ("odd", 30.0 + g)])]
+    # The reliable source stands alone against two that agree; null and NaN are no claims.
+    rows += [(30, 500, "a", 20.0, 7), (30, 501, "wild", 35.0, 7), (30, 502, "odd", 35.0, 9)]
+    rows += [(31, 600, "a", None, 8), (31, 601, "b", float("nan"), 8), (32, 700, "a", None, 8), (32, 701, "b", 25.0, 8)]
+    out = duplicates.supported_values(spark.createDataFrame(rows, "g long, hit_id long, source string, refined_snr double, row0 long"), {"refined_snr": 1, "row0": 0})
+    got = {r["g"]: r for r in out.collect()}
+    assert all(got[g]["refined_snr"] == 20.0 and got[g]["hit_id"] == 10 * g and got[g]["n_rows"] == 5 for g in range(30))
+    assert got[30]["refined_snr"] == 20.0 and got[30]["row0"] == 7
+    assert got[31]["refined_snr"] is None and got[31]["row0"] == 8 and got[32]["refined_snr"] == 25.0
+
+
+def test_supported_values_miss_no_detection(spark, sf):
+    supported = {r["n_rows"]: r["n"] for r in queries.p1_supported(spark, sf).groupBy("n_rows").agg({"*": "count"}).toDF("n_rows", "n").collect()}
+    fused = {r["n_rows"]: r["n"] for r in queries.p1_fused(spark, sf).groupBy("n_rows").agg({"*": "count"}).toDF("n_rows", "n").collect()}
+    assert supported == fused and supported
+
+
 # Top n
 
 
