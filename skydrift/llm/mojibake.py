@@ -49,8 +49,6 @@ SHORT, CONTEXT = 3, 2
 #: Records with a word beyond STRICT nats are left out of the second training. The margin is the least of MARGINS that
 #: at most FALSE_SHARE of at most SAMPLE_WORDS distinct clean words exceed as they stand.
 STRICT, MARGINS, FALSE_SHARE, SAMPLE_WORDS = 5.0, (2.0, 2.5, 3.0, 4.0, 5.0), 0.002, 20_000
-#: A chain by which the first model was sure of fewer distinct words must exceed STRICT in the second pass too.
-SEEN = 3
 
 #: A run of so many question marks stands for characters that an encoding couldn't hold.
 _LOST = "????"
@@ -285,8 +283,26 @@ def _vocabulary(words: DataFrame) -> DataFrame:
     return materialize(words.groupBy("word").agg(F.sum(F.when(F.col("clean"), F.col("n")).otherwise(0)).alias("n")))
 
 
-def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, chains: list[str] | None = None) -> DataFrame:
-    """(word, chain, restored, gain, lost) of the words that the model of the vocabulary's clean words takes for garbled."""
+def chain_margins(sure: dict[str, int], beyond: dict[str, list[int]], margin: float) -> dict[str, float]:
+    """The margin of each chain: the least from ``margin`` on beyond which it explains no more distinct clean words than those
+    by which the first model was sure of it; else STRICT.
+
+    sure: distinct words of each chain in the first pass. beyond: its distinct clean words beyond each of ``_steps(margin)``. Both
+    are counts over the same table, so that their ratio, which decides, doesn't depend on its size.
+    """
+    strict = max(margin, STRICT)
+    return {c: next((m for m, k in zip(_steps(margin), n) if k <= sure.get(c, 0)), strict) for c, n in beyond.items()}
+
+
+def _steps(margin: float) -> list[float]:
+    return [margin, *[m for m in MARGINS if m > margin]]
+
+
+def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: dict[str, int] | None = None) -> DataFrame:
+    """(word, chain, restored, gain, lost) of the words that the model of the vocabulary's clean words takes for garbled.
+
+    With the distinct words of each chain of which another model was ``sure``, each chain gets its own margin.
+    """
     clean = vocabulary.where("n > 0")
     model = train(clean)
     total, distinct = clean.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -304,11 +320,19 @@ def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, chains:
     def log_p(score, n):
         return F.when(n > 0, F.greatest(score, F.log(n / total)) + F.log1p(F.exp(-F.abs(score - F.log(n / total))))).otherwise(score)
 
-    need = F.lit(margin) if chains is None else F.when(F.col("chain").isin(chains), F.lit(margin)).otherwise(F.lit(max(margin, STRICT)))
+    scored = judged.join(known, "restored", "left").withColumn(
+        "gain", log_p(F.col("score"), F.coalesce("n_restored", F.lit(0))) - log_p(F.col("own"), F.col("n")))
+    need = F.lit(margin)
+    if sure is not None:
+        scored = materialize(scored)
+        # No more rows than there are pairs and double readings.
+        rows = scored.where("chain is not null").groupBy("chain").agg(
+            *[F.count_if((F.col("n") > 0) & (F.col("gain") > m)).alias(f"n{k}") for k, m in enumerate(_steps(margin))]).collect()
+        for chain, least in chain_margins(sure, {r[0]: list(r[1:]) for r in rows}, margin).items():
+            if least > margin:
+                need = F.when(F.col("chain") == chain, F.lit(least)).otherwise(need)
     return (
-        judged.join(known, "restored", "left")
-        .withColumn("gain", log_p(F.col("score"), F.coalesce("n_restored", F.lit(0))) - log_p(F.col("own"), F.col("n")))
-        .withColumn("sure", F.col("chain").isNotNull() & (F.col("gain") > need))
+        scored.withColumn("sure", F.col("chain").isNotNull() & (F.col("gain") > need))
         .where("sure or lost")
         .select("word", F.when(F.col("sure"), F.col("chain")).alias("chain"), F.when(F.col("sure"), F.col("restored")).alias("restored"),
                 F.when(F.col("sure"), F.col("gain")).otherwise(0.0).alias("gain"), "lost")
@@ -326,13 +350,13 @@ def garbled_words(docs: DataFrame, doc: str = "doc_id", text: str = "text", marg
     words = materialize(rows.mapInArrow(_words, "doc_id long, word string, n long, clean boolean"))
     found = materialize(_find(words, _vocabulary(words), STRICT))
     # No more chains than there are pairs and double readings.
-    seen = [r[0] for r in found.where("chain is not null").groupBy("chain").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SEEN).collect()]
+    sure = {r[0]: r[1] for r in found.where("chain is not null").groupBy("chain").agg(F.count(F.lit(1)).alias("n")).collect()}
     # What the first model is sure of leaves the training text of the second.
     bad = words.join(found.select("word"), "word", "left_semi").select("doc_id").distinct()
     pure = words.join(materialize(bad), "doc_id", "left_anti")
     clean = _vocabulary(pure)
     every = materialize(words.select("word").distinct().join(clean, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
-    found = materialize(_find(words, every, margin, seen))
+    found = materialize(_find(words, every, margin, sure))
     return words.select("doc_id", "word", "n").join(found, "word")
 
 

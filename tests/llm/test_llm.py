@@ -366,3 +366,12 @@ def test_recall_of_the_model_on_held_out_words(spark, sf):
     assert mojibake.recall(model, clean, total, 2.0, ("utf-8>cp1252", "utf-8>cp437", "utf-8>mac_roman")) > 0.95
     assert mojibake.recall(model, clean, total, 2.0, ("cp1252>cp437", "cp1252>mac_roman")) > 0.9
     assert mojibake.validated_margin(model, clean, total) in mojibake.MARGINS
+
+
+def test_margins_of_chains_do_not_depend_on_the_size_of_the_table():
+    sure = {"rare": 1, "false": 3}
+    beyond = {"rare": [1, 1, 0, 0, 0], "false": [60, 40, 20, 9, 4], "between": [5, 2, 1, 0, 0], "unseen": [0, 0, 0, 0, 0]}
+    want = {"rare": 2.0, "false": 5.0, "between": 4.0, "unseen": 2.0}
+    for times in (1, 10, 1000):
+        assert mojibake.chain_margins({c: n * times for c, n in sure.items()}, {c: [k * times for k in n] for c, n in beyond.items()}, 2.0) == want
+    assert mojibake.chain_margins({}, {"a": [7]}, 9.0) == {"a": 9.0}
