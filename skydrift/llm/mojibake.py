@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skydrift.tables import materialize
@@ -47,8 +47,8 @@ TWICE = ("cp1252", "latin-1", "mac_roman", "cp437")
 #: A word of at most so many characters is taken with CONTEXT characters on either side.
 SHORT, CONTEXT = 3, 2
 #: Records with a word beyond STRICT nats are left out of the second training. The margin is the least of MARGINS that
-#: at most FALSE_SHARE of at most SAMPLE_WORDS distinct clean words exceed as they stand.
-STRICT, MARGINS, FALSE_SHARE, SAMPLE_WORDS = 5.0, (2.0, 2.5, 3.0, 4.0, 5.0), 0.002, 20_000
+#: at most FALSE_SHARE of the distinct clean words exceed as they stand.
+STRICT, MARGINS, FALSE_SHARE = 5.0, (2.0, 2.5, 3.0, 4.0, 5.0), 0.002
 
 #: A run of so many question marks stands for characters that an encoding couldn't hold.
 _LOST = "????"
@@ -283,6 +283,19 @@ def _vocabulary(words: DataFrame) -> DataFrame:
     return materialize(words.groupBy("word").agg(F.sum(F.when(F.col("clean"), F.col("n")).otherwise(0)).alias("n")))
 
 
+def _log_p(score: Column, n: Column, total: float) -> Column:
+    """As in ``gain``."""
+    share = F.log(n / total)
+    return F.when(n > 0, F.greatest(score, share) + F.log1p(F.exp(-F.abs(score - share)))).otherwise(score)
+
+
+def margin_of_all(judged: DataFrame, total: float, distinct: int) -> float:
+    """``validated_margin`` over all clean words (n > 0), in one aggregate over their judgements (n, chain, score, own)."""
+    alone = F.col("score") - _log_p(F.col("own"), F.col("n"), total)
+    beyond = judged.where("n > 0 and chain is not null").agg(*[F.count_if(alone > m).alias(f"n{k}") for k, m in enumerate(MARGINS)]).first()
+    return next((m for m, k in zip(MARGINS, beyond) if k / max(1, distinct) <= FALSE_SHARE), MARGINS[-1])
+
+
 def chain_margins(sure: dict[str, int], beyond: dict[str, list[int]], margin: float) -> dict[str, float]:
     """The margin of each chain: the least from ``margin`` on beyond which it explains no more distinct clean words than those
     by which the first model was sure of it; else STRICT.
@@ -307,21 +320,14 @@ def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: d
     model = train(clean)
     total, distinct = clean.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = float(total or 1)
-    if margin is None:
-        # Taken by hash, so that every run takes the same words.
-        share = int(min(1.0, SAMPLE_WORDS / max(1, distinct)) * 1_000_000)
-        sample = clean.where(F.pmod(F.xxhash64("word"), F.lit(1_000_000)) < share).limit(2 * SAMPLE_WORDS)
-        margin = validated_margin(model, [tuple(r) for r in sample.collect()], total)
     shared = words.sparkSession.sparkContext.broadcast(model)
     judged = materialize(vocabulary.mapInArrow(
         _judge(shared), "word string, n long, chain string, restored string, score double, own double, lost boolean"))
+    if margin is None:
+        margin = margin_of_all(judged, total, distinct)
     known = clean.select(F.col("word").alias("restored"), F.col("n").alias("n_restored"))
-
-    def log_p(score, n):
-        return F.when(n > 0, F.greatest(score, F.log(n / total)) + F.log1p(F.exp(-F.abs(score - F.log(n / total))))).otherwise(score)
-
     scored = judged.join(known, "restored", "left").withColumn(
-        "gain", log_p(F.col("score"), F.coalesce("n_restored", F.lit(0))) - log_p(F.col("own"), F.col("n")))
+        "gain", _log_p(F.col("score"), F.coalesce("n_restored", F.lit(0)), total) - _log_p(F.col("own"), F.col("n"), total))
     need = F.lit(margin)
     if sure is not None:
         scored = materialize(scored)
