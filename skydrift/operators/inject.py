@@ -124,6 +124,16 @@ def envelope(row: Column, fs: float) -> Column:
     return F.when(on, depth).otherwise(0.0)
 
 
+def active_rows(fs: float) -> Column:
+    """Rows from a signal's first to the one after its last, and those of a second burst with the one after it."""
+    first = F.greatest(F.lit(0), F.floor(F.col("start_s") * fs))
+    given = lambda c, other: F.when(F.col(c).isNull() | (F.col(c) == 0), F.lit(other)).otherwise(F.col(c))
+    again = F.greatest(F.lit(0), F.floor(given("secondary_start_s", 0.8) * fs))
+    span = lambda a, d: F.sequence(a, a + F.greatest(F.lit(0), F.floor(d * fs)))
+    rows = span(first, F.col("duration_s"))
+    return F.when(F.col("morphology") == "dualburst", F.array_union(rows, span(again, given("secondary_duration_s", 0.2)))).otherwise(rows)
+
+
 def waveform(row: Column, base: Column, fs: float) -> tuple[Column, Column]:
     """Real and imaginary part of the unit signal at a row: the sum of its tones."""
     n = tone_count(F.col("bandwidth_hz"), F.col("n_tones"))

@@ -112,6 +112,13 @@ def signal_phase(spark, sf_dir):
     return r(s.select("signal_id", "row", (F.col("cycles") + 3.21e-6).alias("cycles"), "env"), "cycles", "env", places=4)
 
 
+def signal_course(spark, sf_dir):
+    """Phase of each signal over all its rows, at eight rows a second, and whether it is on."""
+    s = signals(spark, sf_dir).select("*", F.explode(I.active_rows(8.0)).alias("row"))
+    s = s.withColumns({"cycles": I.phase_cycles(F.col("row"), F.lit(1.5), 8.0), "env": I.envelope(F.col("row"), 8.0)})
+    return r(s.select("signal_id", "row", (F.col("cycles") + 3.21e-6).alias("cycles"), "env"), "cycles", "env", places=4)
+
+
 def signal_tones(spark, sf_dir):
     """Tones that make up each signal, and its extent against its channel."""
     s = I.out_of_channel(signals(spark, sf_dir), CONTRACT)
@@ -197,7 +204,7 @@ def nearest_events(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (local_snr, aligned_profile, profile_evidence, cutout_range, predicted_tracks, review_list, nearest_channels, target_channels,
-                                   instant_frequency, signal_phase, signal_tones, power_plan, clip_summary, injected_samples, truth_pairs, event_truth, measured_channels, truth_matches,
+                                   instant_frequency, signal_phase, signal_course, signal_tones, power_plan, clip_summary, injected_samples, truth_pairs, event_truth, measured_channels, truth_matches,
                                    truth_status, truth_quality, truth_calibration, nearest_events)}
 
 _DF = "(1e9::DOUBLE / 65536)"
