@@ -15,6 +15,13 @@ def event_times(events: DataFrame, dt_s: float) -> DataFrame:
         "peak_s", F.coalesce(F.col("peak_row") * F.lit(dt_s), 0.5 * (F.col("e0") + F.col("e1"))))
 
 
+def signal_times(signals: DataFrame, dt_s: float) -> DataFrame:
+    """Fills a missing start of signals from start_row, and then a missing end from the duration. NaN counts as null."""
+    known = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double"))
+    return signals.withColumn("injected_start_s", F.coalesce(known("injected_start_s"), F.col("start_row") * F.lit(dt_s))).withColumn(
+        "injected_end_s", F.coalesce(known("injected_end_s"), F.col("injected_start_s") + known("injected_duration_s")))
+
+
 def expected_freq(t: Column) -> Column:
     """Frequency of an injected signal at t."""
     return F.col("injected_start_freq_hz") + F.col("injected_drift_hz_per_s") * (t - F.col("injected_start_s"))

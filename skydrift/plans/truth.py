@@ -151,6 +151,11 @@ def _truth(spark, sf_dir):
     return table(spark, sf_dir, "injected_signals").dropDuplicates(["signal_id"]).withColumn("obs_id", canonical_obs(F.col("obs_id")))
 
 
+def _timed_truth(spark, sf_dir):
+    """With the times that follow from other columns. The SQL of the other queries leaves signals without a start out."""
+    return C.signal_times(_truth(spark, sf_dir), T.DT)
+
+
 def _found(spark, sf_dir):
     return C.event_times(T.events(spark, sf_dir), T.DT)
 
@@ -177,12 +182,12 @@ def measured_channels(spark, sf_dir):
 
 def truth_matches(spark, sf_dir):
     """One-to-one pairs, best score first."""
-    return r(C.match(_truth(spark, sf_dir), _found(spark, sf_dir)).select("signal_id", "event_id", "match_score"), "match_score")
+    return r(C.match(_timed_truth(spark, sf_dir), _found(spark, sf_dir)).select("signal_id", "event_id", "match_score"), "match_score")
 
 
 def truth_status(spark, sf_dir):
     """Every signal and event, matched or alone."""
-    s, e = _truth(spark, sf_dir), _found(spark, sf_dir)
+    s, e = _timed_truth(spark, sf_dir), _found(spark, sf_dir)
     return C.three_way(s, e, C.match(s, e))
 
 

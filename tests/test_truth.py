@@ -2,6 +2,8 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from skydrift.plans import truth
 
 
@@ -42,3 +44,17 @@ def test_course_covers_every_row_of_every_signal(spark, sf):
         want, have = course(s), got[s["signal_id"]]
         assert set(want) == set(have)
         assert all(have[k][1] == on and math.isclose(have[k][0], c, rel_tol=1e-9, abs_tol=2e-4) for k, (c, on) in want.items())
+
+
+def test_signals_without_start_are_matched_by_their_row(spark, sf, tmp_path):
+    """Where no start or end is given, they follow from start_row and duration, and the same events are matched."""
+    given = spark.read.parquet(f"{sf}/injected_signals.parquet").withColumn("start_row", F.round(F.col("injected_start_s") / 65.536e-6).cast("long"))
+    nothing = F.lit(None).cast("double")
+    bare = given.withColumns({"injected_start_s": nothing, "injected_end_s": nothing})
+    for name, df in (("given", given), ("bare", bare)):
+        df.write.parquet(str(tmp_path / name / "injected_signals.parquet"))
+        (tmp_path / name / "track_events.parquet").symlink_to(f"{sf}/track_events.parquet")
+    want, got = ({(r["signal_id"], r["event_id"]) for r in truth.truth_matches(spark, str(tmp_path / name)).collect()} for name in ("given", "bare"))
+    assert want and got == want
+    status = {r["signal_id"] for r in truth.truth_status(spark, str(tmp_path / "bare")).where("match_status = 'matched'").collect()}
+    assert status == {s for s, _ in want}
