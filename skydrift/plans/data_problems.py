@@ -35,6 +35,11 @@ def p4_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.signals_table(nested.report_tables(table(spark, sf_dir, "injection_reports")))
 
 
+def p4_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the signals' target channels, with their ordinals and values."""
+    return nested.channel_values_table(nested.report_tables(table(spark, sf_dir, "injection_reports")))
+
+
 def p4_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports."""
     return nested.reports_table(nested.report_tables(table(spark, sf_dir, "injection_reports")))
@@ -47,16 +52,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where((F.col("kind") == "gap") | (F.col("n") >= 2)).select("obs_id", "coarse_channel", "kind", "row0", "row1")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_channel_load, p4_found, p4_signals, p4_reports, p5_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_channel_load, p4_found, p4_signals, p4_channels, p4_reports, p5_found)}
 
 _OBS = "lower(trim(replace(obs_id, '-', '_')))"
+# The record is looked for at every depth: the shallowest object that has a report's fields.
 _P4 = """
-WITH c AS (SELECT report_id, arg_max(payload, received_at) AS p FROM injection_reports WHERE json_valid(payload) GROUP BY 1),
-r AS (SELECT report_id, CASE WHEN json_exists(p, '$.payload.report') THEN p -> '$.payload.report'
-        WHEN json_exists(p, '$.report') THEN p -> '$.report' ELSE CAST(p AS JSON) END AS j FROM c),
+WITH v AS (SELECT report_id, received_at, ltrim(payload, chr(65279)) AS t FROM injection_reports),
+c AS (SELECT report_id, CAST(arg_max(t, received_at) AS JSON) AS p FROM v WHERE json_valid(t) GROUP BY 1),
+n AS (SELECT c.report_id, t.value AS j, length(t.fullkey) - length(replace(replace(t.fullkey, '.', ''), '[', '')) AS depth, t.id FROM c, json_tree(c.p) t
+  WHERE t.type = 'OBJECT' AND (json_exists(t.value, '$.signals') OR json_exists(t.value, '$.plan_name') OR json_exists(t.value, '$.contract'))),
+r AS (SELECT c.report_id, coalesce(b.j, c.p) AS j FROM c LEFT JOIN (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY depth, id) = 1) b USING (report_id)),
 q AS (SELECT report_id, CASE WHEN json_type(j -> '$.signals') = 'VARCHAR' THEN CAST(j ->> '$.signals' AS JSON) ELSE j -> '$.signals' END AS v FROM r),
 s AS (SELECT report_id, CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] ELSE [] END AS a FROM q),
-g AS (SELECT report_id, n AS signal_no, a[n] AS sig FROM (SELECT report_id, a, unnest(range(1, len(a) + 1)) AS n FROM s))"""
+g AS (SELECT report_id, n AS signal_no, a[n] AS sig FROM (SELECT report_id, a, unnest(range(1, len(a) + 1)) AS n FROM s)),
+t AS (SELECT report_id, signal_no, CASE WHEN json_type(sig -> '$.target_channels') = 'VARCHAR'
+        THEN CAST(sig ->> '$.target_channels' AS JSON) ELSE sig -> '$.target_channels' END AS tc FROM g)"""
 
 SQL = {
     "p3_found": f"""
@@ -69,8 +79,6 @@ QUALIFY row_number() OVER (PARTITION BY coarse_channel, obs_id ORDER BY snr DESC
 SELECT coarse_channel, count(*) AS n, count(*) * 50 > (SELECT count(*) FROM hits) AS heavy
 FROM hits WHERE coarse_channel BETWEEN 0 AND 255 GROUP BY 1""",
     "p4_found": _P4 + """,
-t AS (SELECT report_id, signal_no, CASE WHEN json_type(sig -> '$.target_channels') = 'VARCHAR'
-        THEN CAST(sig ->> '$.target_channels' AS JSON) ELSE sig -> '$.target_channels' END AS tc FROM g),
 i AS (SELECT report_id, signal_no, CASE WHEN json_type(tc) = 'ARRAY' THEN list_transform(CAST(tc AS JSON[]), lambda x: x ->> '$.channel_index')
         WHEN json_type(tc) = 'OBJECT' AND json_exists(tc, '$.channel_index') THEN [tc ->> '$.channel_index']
         WHEN json_type(tc) = 'OBJECT' THEN json_keys(tc) ELSE [] END AS ch FROM t)
@@ -83,6 +91,15 @@ SELECT report_id, CAST(signal_no AS INTEGER) AS signal_no, sig ->> '$.name' AS n
   TRY_CAST(res ->> '$.start_s' AS DOUBLE) AS start_s, TRY_CAST(res ->> '$.duration_s' AS DOUBLE) AS duration_s,
   TRY_CAST(res ->> '$.start_freq_hz' AS DOUBLE) AS start_freq_hz, TRY_CAST(res ->> '$.drift_hz_per_s' AS DOUBLE) + 0.0 AS drift_hz_per_s,
   TRY_CAST(res ->> '$.snr_db' AS DOUBLE) AS snr_db, CAST(TRY_CAST(res ->> '$.start_row' AS DOUBLE) AS BIGINT) AS start_row FROM z""",
+    "p4_channels": _P4 + """,
+l AS (SELECT report_id, signal_no, CASE WHEN json_type(tc) = 'ARRAY' THEN list_transform(CAST(tc AS JSON[]), lambda x: {'k': NULL::VARCHAR, 'x': x})
+        WHEN json_type(tc) = 'OBJECT' AND json_exists(tc, '$.channel_index') THEN [{'k': NULL::VARCHAR, 'x': tc}]
+        WHEN json_type(tc) = 'OBJECT' THEN list_transform(list_sort(json_keys(tc)), lambda k: {'k': k, 'x': json_extract(tc, '$."' || k || '"')}) ELSE [] END AS a FROM t),
+z AS (SELECT report_id, signal_no, n AS channel_no, a[n].k AS k, a[n].x AS x FROM (SELECT *, unnest(range(1, len(a) + 1)) AS n FROM l))
+SELECT report_id, CAST(signal_no AS INTEGER) AS signal_no, CAST(channel_no AS INTEGER) AS channel_no,
+  CAST(TRY_CAST(coalesce(x ->> '$.channel_index', k) AS DOUBLE) AS INTEGER) AS channel_index, TRY_CAST(x ->> '$.baseband_hz' AS DOUBLE) + 0.0 AS baseband_hz,
+  TRY_CAST(x ->> '$.amp_scale' AS DOUBLE) AS amp_scale, TRY_CAST(x ->> '$.channel_rms' AS DOUBLE) AS channel_rms,
+  TRY_CAST(x ->> '$.realized_snr_db' AS DOUBLE) + 0.0 AS realized_snr_db, TRY_CAST(x ->> '$.realized_local_psd_snr_db' AS DOUBLE) + 0.0 AS realized_local_psd_snr_db FROM z""",
     "p4_reports": _P4 + """
 SELECT report_id, j ->> '$.plan_name' AS plan_name, TRY_CAST(j ->> '$.rows' AS BIGINT) AS n_rows, j ->> '$.observation.obs_id' AS obs_id,
   TRY_CAST(j ->> '$.contract.channelizer_fft' AS BIGINT) AS channelizer_fft FROM r""",

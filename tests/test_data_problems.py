@@ -95,13 +95,31 @@ def test_nested_shapes_depths_and_versions(spark):
     one = {"plan_name": "q", "signals": {"name": "lone", "target_channels": []}}
     payloads = [(1, 0, json.dumps(a)), (1, 1, json.dumps(a)[:-5]), (1, 2, None), (2, 0, json.dumps(one)), (2, 1, json.dumps({"payload": {"report": a}, "version": 2})),
                 (3, 0, json.dumps({"report": one})), (4, 0, json.dumps({"plan_name": "no signals"})), (5, 0, "{"), (6, 0, ""), (7, 0, "[]"), (8, 0, "7"),
-                (9, 0, json.dumps({"plan_name": "t", "signals": json.dumps([{"name": "z", "target_channels": [{"channel_index": 1}]}])}))]
+                (9, 0, json.dumps({"plan_name": "t", "signals": json.dumps([{"name": "z", "target_channels": [{"channel_index": 1}]}])})),
+                # A byte-order mark, a record in an array, one held as text, and a wrapper with an odd name.
+                (10, 0, "\ufeff" + json.dumps(one)), (11, 0, json.dumps([1, {"x": 2}, {"in": [[], [one]]}])), (12, 0, json.dumps({"body": " " + json.dumps({"report": one})})),
+                (13, 0, json.dumps({"a.b [c]": {"it's `odd`?": one}}))]
     got, tables = found(spark, payloads)
     of_a = [(1, 3), (1, 4), (2, -1), (3, 7), (3, 8), (4, 9), (5, 5), (6, -1)]
-    assert got == [(1, *x) for x in of_a] + [(2, *x) for x in of_a] + [(3, 1, -1), (9, 1, 1)]
+    assert got == [(1, *x) for x in of_a] + [(2, *x) for x in of_a] + [(3, 1, -1), (9, 1, 1)] + [(k, 1, -1) for k in (10, 11, 12, 13)]
     signals = {(r["report_id"], r["signal_no"]): r for r in nested.signals_table(tables).collect()}
     assert signals[1, 6]["start_s"] == 2.5 and signals[3, 1]["name"] == "lone" and signals[1, 2]["start_s"] is None
-    assert {r["report_id"]: r["plan_name"] for r in nested.reports_table(tables).collect()} == {1: "p", 2: "p", 3: "q", 4: "no signals", 7: None, 8: None, 9: "t"}
+    assert {r["report_id"]: r["plan_name"] for r in nested.reports_table(tables).collect()} == {1: "p", 2: "p", 3: "q", 4: "no signals", 7: None, 8: None, 9: "t", 10: "q", 11: "q", 12: "q", 13: "q"}
+
+
+def test_levels_that_no_code_names_become_tables(spark):
+    docs = {1: {"kind": "k", "runs": [{"at": 1, "steps": [{"n": 1.5, "w": [7, 8]}, {"n": "x", "opt": {"deep": [{"z": True}]}}]}, {"at": 2, "steps": None}]},
+            2: {"wrap": {"kind": "l", "runs": {"at": 3, "steps": json.dumps([{"n": 4}])}}}, 3: {"kind": "m", "runs": {"a": {"steps": []}, "b": {"at": 5}}}, 4: {"kind": "n"}}
+    df = spark.createDataFrame([(k, json.dumps(d)) for k, d in docs.items()], "id long, t string").selectExpr("id", "parse_json(t) AS doc")
+    tables = nested.shred(df, "id", {"kind"})
+    assert set(tables) == {"", "runs", "runs.steps", "runs.steps.w", "runs.steps.opt.deep"}
+    rows = lambda name, *c: sorted(tuple(r) for r in nested.scalars(tables[name]).select(*c).collect())
+    assert rows("", "id", "kind") == [(1, "k"), (2, "l"), (3, "m"), (4, "n")]
+    assert sorted(rows("runs", "id", "runs_no", "name", "at"), key=repr) == sorted([(1, 1, None, 1.0), (1, 2, None, 2.0), (2, 1, None, 3.0), (3, 1, "a", None), (3, 2, "b", 5.0)], key=repr)
+    assert rows("runs.steps", "id", "runs_no", "steps_no", "n") == [(1, 1, 1, "1.5"), (1, 1, 2, "x"), (2, 1, 1, "4")]
+    assert sorted((r["id"], r["runs_no"], r["steps_no"], r["w_no"], int(str(r["doc"].toPython()))) for r in tables["runs.steps.w"].collect()) == [(1, 1, 1, 1, 7), (1, 1, 1, 2, 8)]
+    assert rows("runs.steps.opt.deep", "id", "runs_no", "steps_no", "deep_no", "z") == [(1, 1, 2, 1, True)]
+    assert nested.shred(df.limit(0), "id", {"kind"})[""].count() == 0
 
 
 def test_nested_empty_table(spark):
