@@ -234,19 +234,19 @@ def brute_leaks(docs, items, length=12):
         if len(passage) < length:
             continue
         for d, t in docs:
-            ws = leaks.words(t or "", set(passage))
-            for j in range(len(passage) - length + 1):
-                want = passage[j:j + length]
-                for s in range(len(ws)):
-                    k, n = s, 0
-                    while k < len(ws) and n < length:
-                        if ws[k] == want[n]:
-                            n += 1
-                        elif not (n and ws[k].isdigit()):
-                            break
-                        k += 1
-                    if n == length:
-                        out.add((d, i))
+            for ws in leaks.readings(t or "", set(passage).__contains__, max(map(len, passage))):
+                for j in range(len(passage) - length + 1):
+                    want = passage[j:j + length]
+                    for s in range(len(ws)):
+                        k, n = s, 0
+                        while k < len(ws) and n < length:
+                            if ws[k] == want[n]:
+                                n += 1
+                            elif not (n and ws[k].isdigit()):
+                                break
+                            k += 1
+                        if n == length:
+                            out.add((d, i))
     return out
 
 
@@ -287,15 +287,67 @@ def test_leaks_equal_brute_force_on_random_texts(spark):
     assert got == want and want
 
 
-def test_index_finds_every_fingerprint_within_the_radius():
+def found_leaks(spark, docs, items, **kwargs):
+    out = leaks.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), **kwargs)
+    return {(r["doc_id"], r["item_id"]): r["n_words"] for r in out.collect()}
+
+
+def test_nothing_between_the_words_is_too_long(spark):
+    w = PASSAGE.replace("258", "many").split()
+    items = [(1, " ".join(w))]
+    docs = [(n, "before " + (" " + " ".join(str(k) for k in range(n)) + " ").join(w[2:14]) + " after") for n in (1, 2, 3, 4, 5, 8, 20, 50, 400)]
+    docs += [(1000 + n, " ".join(w[:7]) + f' <span style="{"x: 1; " * n}">' + " ".join(w[7:12]) + "</span>") for n in (10, 60, 2000)]
+    docs += [(2000 + n, " ".join(w[:6]) + f" <!-- {'hidden words ' * n}--> " + " ".join(w[6:12])) for n in (1, 3000)]
+    # A word in many pieces, and one with a hyphen at the line's end; what stands between brackets may be prose.
+    docs += [(3000, " ".join(w[:3]) + " " + "-\n".join("buoyant") + " " + " ".join(w[4:])), (3001, " ".join(w).replace("self-aligning", "self-\naligning")),
+             (3002, "-\n".join("z" * 5000) + " " + "-\n   ".join(["x" * 70, "y"]) + " " + " ".join(w)), (3003, "if a <" + " ".join(w[:12]) + " and b> c"), (3004, "<b " + " ".join(w[:12]))]
+    docs = [(d, t) for d, t in docs]
+    if "buoyant" not in w[3]:
+        docs = [(d, t) for d, t in docs if d != 3000] + [(3000, " ".join(w).replace("buoyant", "-\n".join("buoyant")))]
+    got = found_leaks(spark, docs, items)
+    assert set(got) == {(d, 1) for d, _ in docs} == brute_leaks(docs, items)
+    assert got[50, 1] == 12 and got[3002, 1] == len(leaks.words(" ".join(w)))
+
+
+def test_windows_with_many_numbers_of_their_own(spark):
+    passage = "the 12 rotors turn 5 times in 7 or 9 seconds while 3 valves open 11 ports at once"
+    w = passage.split()
+    mixed = [x for a in w for x in (a, "777")]
+    docs = [(1, passage), (2, " ".join(mixed)), (3, passage.replace("5", "6")), (4, " ".join(w[2:14])), (5, " ".join(w[2:13])), (6, passage.replace("valves", "other"))]
+    items = [(1, passage), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13"), (3, "one and 1 2 3 4 5 6 7 8 9 10 11 12 more words")]
+    docs += [(7, "1 2 3 4 5 6 7 8 9 10 11 12"), (8, "and 1 2 3 555 4 5 6 7 8 9 10 11")]
+    got = found_leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (7, 2), (7, 3), (8, 3)}
+
+
+def test_a_full_bit_set_loses_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "12"]) + rng.choice("abcdefgh") for _ in range(30))) for k in range(40)]
+    docs = [(k, " ".join(["x"] * 20 + items[k % 40][1].split()[3:3 + 8 + k % 10] + ["y"] * 5)) for k in range(120)]
+    want = brute_leaks(docs, items)
+    got = set(found_leaks(spark, docs, items))
+    bits = leaks.Bits([(k, -1) for k in range(1 << (leaks.SLOT_BITS - 6))])
+    monkeypatch.setattr(leaks, "bit_set", lambda *a: bits)
+    assert got == want == set(found_leaks(spark, docs, items)) and set(found_leaks(spark, docs, items, radius=3)) == want and want
+
+
+def test_fingerprints_within_the_radius_share_a_block():
     rng = np.random.default_rng(2)
-    index = leaks.Index([(1, PASSAGE)], 12, 3)
     own = rng.integers(0, 2**63, 300, dtype=np.uint64)
-    part = (True, 10, *index._blocks(own), None)
-    q = np.concatenate([own ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, k, replace=False)) if k else own for k in range(6)])
-    a, b = index.near(part, q)
-    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(np.bitwise_count(q[:, None] ^ own[None, :]) <= 3))}
-    assert set(zip(a.tolist(), b.tolist())) == want and len(want) >= 1200
+    for radius in (0, 1, 3):
+        keys = leaks.block_keys(own, 12, radius)
+        for flips in range(radius + 1):
+            far = own ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, flips, replace=False)), np.uint64(0))
+            assert (keys == leaks.block_keys(far, 12, radius)).any(axis=1).all()
+        assert not (keys == leaks.block_keys(own, 11, radius)).any()
+
+
+def test_words_and_order_are_compared_and_not_fingerprints_alone():
+    text, passage = [1, 9, 2, 3, 9, 9, 4], [1, 2, 3, 4]
+    assert leaks.stands_in(passage, text, [x == 9 for x in text]) and not leaks.stands_in(passage, text, [False] * 7) and not leaks.stands_in([1, 3, 2, 4], text, [x == 9 for x in text])
+    same = list(range(12))
+    assert leaks.similarity(same, same, {}) == 1.0
+    assert leaks.similarity(same[:-1] + [99], same, {}) == pytest.approx(7 / 9) and leaks.similarity(same[:-1] + [99], same, {11: 0.1} | {k: 1.0 for k in range(11)}) > 0.75
 
 
 def test_equal_windows_have_equal_fingerprints():
