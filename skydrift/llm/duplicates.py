@@ -1,154 +1,211 @@
 """One surviving record per duplicate group, and what the sources say together by iterative truth discovery.
 
-1. Linking. Rows of one observation and channel that lie within 20 Hz and share more than half of the
-   shorter row range are one detection. Rows without another row near in frequency drop out first. Rows
-   with one frequency cell and one row range are linked with each other by definition: they become one
-   node, which keeps copies from being paired. Nodes are joined on time and frequency buckets.
-2. The survivor is the row that ranks first by the stated order (greatest or least of each field in turn, then the
+1. Blocks. Rows of one observation and channel whose frequencies lie in one quarter of the tolerance, whose lengths are of one power of
+   two and whose starts are within an eighth of the length are one detection by definition. They are folded to one row,
+   a block, with the bounds of its rows, in one aggregate with map-side combining; a hot line is a few blocks.
+2. Links. Blocks meet in buckets of frequency and time. Their bounds decide nearly all pairs; where they don't, and the two aren't linked by
+   another way, their distinct rows are compared. A component of linked blocks is a detection.
+3. The survivor is the row that ranks first by the stated order (greatest or least of each field in turn, then the
    identifier). Such an order leaves sources no say: the extreme value wins, whoever claims it.
-3. Truth discovery (``supported_values``). Each row is a claim of its source (the run) about every field. In turn, each
+4. Truth discovery (``supported_values``). Each row is a claim of its source (the run) about every field. In turn, each
    field's best supported value is determined from the votes weighted by the reliability of their sources, and each
    source's reliability from the share of its claims that hold, until the reliabilities stay the same. A claim votes
-   for its own value; null and NaN are no claim.
+   for its own value and those next to it; null and NaN are no claim.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skydrift.llm.components import components
 from skydrift.tables import discard, materialize
 
-#: Bits of the smallest length class of row ranges, and bits from one class to the next.
-BASE_BITS, STEP_BITS = 15, 4
-MAX_ROUNDS, TOLERANCE = 20, 1e-4
+#: Truth discovery ends when no reliability moves by more; a run that needs more rounds warns.
+TOLERANCE, MANY_ROUNDS = 1e-4, 200
+BLOCK = ("fc", "lc", "tb")
 
 
-def _near_only(rows: DataFrame, keys: list[str], tol: float) -> DataFrame:
-    """Rows with another row of the same key within ``tol`` in ``f``, and rows at the border of a band.
+def _shift(v: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", v, bits)
 
-    A key is cut into bands of 256 tolerances, so that no task sorts a whole hot key; at the border of a band the
-    neighbour may be in the next one, and the row stays.
+
+def with_block(rows: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """Adds the block of each row (fc, lc, tb) to rows that can be part of a detection, and leaves the others out: null keys, bounds,
+    frequency or hit_id, NaN, and ranges that are empty or reversed."""
+    ok = reduce(lambda a, c: a & F.col(c).isNotNull(), [*keys, "row0", "row1", "f", "hit_id"], F.col("row1") > F.col("row0"))
+    # A hair less than a quarter, so that rounding doesn't bring together what is farther apart.
+    cell = tol / 4 * (1 - 2**-20)
+    length = F.col("row1") - F.col("row0")
+    lc = (F.length(F.bin(length)) - 1).cast("int")
+    return (rows.where(ok & ~F.isnan("f") & (F.abs("f") < 1e300)).withColumn("fc", F.floor(F.col("f") / F.lit(cell))).withColumn("lc", lc)
+            .withColumn("tb", _shift(F.col("row0"), F.greatest(F.lit(0), F.col("lc") - 2))))
+
+
+def block_links(blocks: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """(a, b, sure): pairs of blocks of which some rows are linked for sure, or may be.
+
+    The middle of the shorter range lies in the longer one. So a block is looked up, at its middles, in time buckets of each
+    length class that occurs from its own on, and holds the buckets of its own class that its rows touch.
     """
-    band = tol * 256
-    w = Window.partitionBy(*keys, "band").orderBy("f")
-    inside = F.pmod(F.col("f"), F.lit(band))
-    near = (F.col("f") - F.lag("f").over(w) <= tol) | (F.lead("f").over(w) - F.col("f") <= tol)
-    return (
-        rows.withColumn("band", F.floor(F.col("f") / band))
-        .withColumn("near", F.coalesce(near, F.lit(False)) | (inside <= tol) | (inside >= band - tol))
-        .where("near").drop("band", "near")
-    )
+    classes = sorted(r[0] for r in blocks.select("lc").distinct().collect())  # at most 63
+    wide = F.floor(F.col("fc") / 16)
+    bounds = ("node", "lc", "f0", "f1", "r00", "r01", "r10", "r11", "l0", "l1")
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in bounds]
+    touch = lambda lo, hi, bits: F.explode(F.sequence(_shift(lo, bits), _shift(hi, bits)))
+    known = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")
+    a = blocks.withColumn("level", F.explode(F.filter(known, lambda c: c >= F.col("lc")))).withColumn("fb", wide)
+    a = a.withColumn("t", touch(F.col("r00") + F.expr("l0 div 2"), F.col("r01") + F.expr("l1 div 2"), F.col("level") + 1)).select(*keys, "level", "fb", "t", *named("a"))
+    edge = F.pmod(F.col("fc"), F.lit(16))
+    b = blocks.withColumn("level", F.col("lc")).withColumn(
+        "fb", F.explode(F.when(edge < 5, F.array(wide, wide - 1)).when(edge > 10, F.array(wide, wide + 1)).otherwise(F.array(wide))))
+    b = b.withColumn("t", touch(F.col("r00"), F.col("r11") - 1, F.col("level") + 1)).select(*keys, "level", "fb", "t", *named("b"))
+    p = a.join(b, [*keys, "level", "fb", "t"]).where((F.col("a_lc") < F.col("b_lc")) | (F.col("a_node") < F.col("b_node")))
+    # The bounds of what two rows share, of the shorter length, and of the difference in frequency.
+    most, least = F.least("a_r11", "b_r11") - F.greatest("a_r00", "b_r00"), F.least("a_r10", "b_r10") - F.greatest("a_r01", "b_r01")
+    near = F.greatest(F.col("a_f0") - F.col("b_f1"), F.col("b_f0") - F.col("a_f1")) <= tol
+    all_near = F.greatest(F.col("a_f1") - F.col("b_f0"), F.col("b_f1") - F.col("a_f0")) <= tol
+    may = near & (most * 2 > F.least("a_l0", "b_l0"))
+    sure = all_near & (least * 2 > F.least("a_l1", "b_l1"))
+    return p.where(may).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.max(sure).alias("sure"))
+
+
+def _exact_links(undecided: DataFrame, blocks: DataFrame, rows: DataFrame, keys: list[str], tol: float) -> DataFrame:
+    """Pairs (a, b) of the undecided of which two rows are linked. rows: with their blocks."""
+    asked = undecided.select(F.col("a").alias("node")).union(undecided.select("b")).distinct()
+    members = materialize(rows.join(blocks.join(asked, "node").select("node", *keys, *BLOCK), [*keys, *BLOCK]).select("node", "row0", "row1", "f").distinct())
+    side = lambda x: members.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("row0", "row1", "f")])
+    shared = F.least("a_row1", "b_row1") - F.greatest("a_row0", "b_row0")
+    shorter = F.least(F.col("a_row1") - F.col("a_row0"), F.col("b_row1") - F.col("b_row0"))
+    return undecided.join(side("a"), "a").join(side("b"), "b").where((shared * 2 > shorter) & (F.abs(F.col("a_f") - F.col("b_f")) <= tol)).select("a", "b").distinct()
 
 
-def _level(length):
-    """Length class of a row range: ranges of class j are at most 2**(BASE_BITS + j * STEP_BITS) rows long."""
-    return F.greatest(F.lit(0), F.ceil((F.ceil(F.log2(length.cast("double"))) - BASE_BITS) / STEP_BITS)).cast("int")
+def detection_blocks(rows: DataFrame, keys: list[str], tol: float = 20.0, **carried: Column) -> DataFrame:
+    """Blocks of rows that belong to a detection of two or more rows: keys, fc, lc, tb, ``g`` (identifier of the detection), n, and the
+    aggregates ``carried``, by block.
+
+    rows: ``hit_id`` (unique), keys, ``row0``, ``row1``, ``f``, and what the aggregates need. Rows that ``with_block`` leaves out belong to
+    no detection.
+    """
+    rows, length = with_block(rows, keys, tol), F.col("row1") - F.col("row0")
+    blocks = materialize(rows.groupBy(*keys, *BLOCK).agg(
+        F.min("hit_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1"), F.min("row0").alias("r00"), F.max("row0").alias("r01"),
+        F.min("row1").alias("r10"), F.max("row1").alias("r11"), F.min(length).alias("l0"), F.max(length).alias("l1"), *[v.alias(k) for k, v in carried.items()]))
+    links = materialize(block_links(blocks, keys, tol))
+    roots = materialize(components(links.where("sure").select("a", "b")))
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    open_ = links.where("not sure").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    open_ = materialize(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
+    if not open_.isEmpty():
+        more = _exact_links(open_, blocks, rows, keys, tol)
+        old = roots
+        roots = materialize(components(links.where("sure").select("a", "b").union(more)))
+        discard(old)
+    out = materialize(blocks.join(roots, "node", "left").where("n > 1 or root is not null").withColumn("g", F.coalesce("root", "node"))
+                      .select(*keys, *BLOCK, "g", "n", *carried))
+    for t in (blocks, links, roots, open_):
+        discard(t)
+    return out
 
 
 def detection_groups(rows: DataFrame, keys: list[str], carry: list[str], tol: float = 20.0) -> DataFrame:
-    """Rows that belong to a detection of two or more rows, with its identifier ``g``.
+    """Rows that belong to a detection of two or more rows, with its identifier ``g``, the keys, hit_id, row0, row1, f and the columns to ``carry``."""
+    rows = rows.select("hit_id", *keys, "row0", "row1", "f", *carry)
+    blocks = detection_blocks(rows, keys, tol)
+    return with_block(rows, keys, tol).join(blocks.select(*keys, *BLOCK, "g"), [*keys, *BLOCK]).drop(*BLOCK)
+
+
+# Survivors
+
+
+def _known(field: str) -> Column:
+    return F.nanvl(F.col(field).cast("double"), F.lit(None).cast("double"))
+
+
+def _rank(order: dict[str, str]) -> Column:
+    keys = [(-_known(k) if how == "at_most" else _known(k)).alias(k) for k, how in order.items()]
+    return F.max(F.struct(*keys, (-F.col("hit_id")).alias("i")))
+
+
+def _extremes(order: dict[str, str]) -> dict[str, Column]:
+    return {f"best_{k}": F.min(_known(k)) if how == "at_most" else F.max(_known(k)) for k, how in order.items()}
 
-    rows: ``hit_id`` (unique), keys, ``row0``, ``row1``, ``f``, and the columns to ``carry``; others are left out. Rows with
-    a null key, bound or frequency and ranges that are empty or reversed belong to no detection.
+
+def best_representatives(rows: DataFrame, keys: list[str], order: dict[str, str], tol: float = 20.0) -> DataFrame:
+    """The surviving row of each detection: ``g``, ``hit_id``, the greatest or least value of each field, and ``n_rows``.
+
+    rows: as in ``detection_blocks``. order: fields in the order of their importance; 'at_least' prefers the greatest
+    value, 'at_most' the least. Null and NaN come last. Ties end at the lowest hit_id. Sources have no say in it. Rows are folded to
+    blocks before anything is shuffled, and blocks to detections.
     """
-    rows = rows.select("hit_id", *keys, "row0", "row1", "f", *carry)
-    ok = reduce(lambda a, c: a & F.col(c).isNotNull(), [*keys, "row0", "row1", "f", "hit_id"], F.col("row1") > F.col("row0"))
-    near = materialize(_near_only(rows.where(ok & ~F.isnan("f")), keys, tol).withColumn("cell", F.floor(F.col("f") / tol)))
-    node_keys = [*keys, "cell", "row0", "row1"]
-    nodes = materialize(near.groupBy(*node_keys).agg(
-        F.min("hit_id").alias("node"), F.min("f").alias("f0"), F.max("f").alias("f1"), F.count(F.lit(1)).alias("n")))
+    blocks = detection_blocks(rows, keys, tol, b=_rank(order), **_extremes(order))
+    best = [(F.min if how == "at_most" else F.max)(f"best_{k}").alias(f"best_{k}") for k, how in order.items()]
+    out = blocks.groupBy("g").agg(F.max("b").alias("b"), *best, F.sum("n").alias("n_rows"))
+    return out.select("g", (-F.col("b.i")).alias("hit_id"), *[f"best_{k}" for k in order], "n_rows")
 
-    # The middle of the shorter range lies in the longer one. Both go to time buckets of the longer one's length
-    # class, and to frequency buckets of four cells.
-    length = F.col("row1") - F.col("row0")
-    top = int(nodes.agg(F.max(_level(length))).first()[0] or 0)
-    wide = F.floor(F.col("cell") / 4)
-    bits = lambda level: F.lit(BASE_BITS) + level * STEP_BITS
-    slim = nodes.select(*keys, "node", "row0", "row1", "f0", "f1", "cell", length.alias("len"), _level(length).alias("own"))
-    short = (
-        slim.withColumn("level", F.explode(F.sequence(F.col("own"), F.lit(top)))).withColumn("fb", wide)
-        .withColumn("tb", F.call_function("shiftright", F.col("row0") + F.expr("len div 2"), bits(F.col("level"))))
-        .select(*keys, "level", "fb", "tb", *[F.col(c).alias(f"a_{c}") for c in ("node", "row0", "row1", "f0", "f1", "len")])
-    )
-    edge = F.pmod(F.col("cell"), F.lit(4))
-    long_ = (
-        slim.withColumn("level", F.col("own"))
-        .withColumn("fb", F.explode(F.when(edge == 0, F.array(wide, wide - 1)).when(edge == 3, F.array(wide, wide + 1)).otherwise(F.array(wide))))
-        .withColumn("tb", F.explode(F.sequence(F.call_function("shiftright", F.col("row0"), bits(F.col("level"))),
-                                               F.call_function("shiftright", F.col("row1") - 1, bits(F.col("level"))))))
-        .select(*keys, "level", "fb", "tb", *[F.col(c).alias(f"b_{c}") for c in ("node", "row0", "row1", "f0", "f1", "len")])
-    )
-    shared = F.least("a_row1", "b_row1") - F.greatest("a_row0", "b_row0")
-    links = (
-        short.join(long_, [*keys, "level", "fb", "tb"])
-        .where((F.col("a_len") < F.col("b_len")) | ((F.col("a_len") == F.col("b_len")) & (F.col("a_node") < F.col("b_node"))))
-        .where((shared * 2 > F.col("a_len")) & (F.greatest(F.col("a_f0") - F.col("b_f1"), F.col("b_f0") - F.col("a_f1")) <= tol))
-        .select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    )
-    roots = components(links)
-    grouped = nodes.join(roots, "node", "left").where("n > 1 or root is not null").select(*node_keys, F.coalesce("root", "node").alias("g"))
-    return near.join(grouped, node_keys).drop("cell")
-
-
-def discover(claims: DataFrame, fields: Iterable[str]) -> tuple[DataFrame, DataFrame]:
-    """Truth discovery over claims (``g``, ``source`` and the fields).
-
-    Returns the truths (g, field, value, support as a share of all votes on it) and the sources (source, reliability). A null
-    source is a source of its own. All values are compared as doubles; of equally supported values the greater is taken. A
-    field that nobody claims has no truth.
+
+# Truth discovery
+
+
+def votes_of(claims: DataFrame, group: list[str], steps: dict[str, float]) -> DataFrame:
+    """(group, field, source, v, n): claims (group, ``source`` and the fields) counted by value, in whole steps of the field. A null source is a source of
+    its own; null, NaN and infinite values are no claim."""
+    value = [F.struct(F.lit(k).alias("field"), F.round(_known(k) / F.lit(s)).alias("v")) for k, s in steps.items()]
+    long_ = claims.select(*group, F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(F.array(*value)).alias("x"))
+    long_ = long_.select(*group, "source", "x.*").where("v is not null and abs(v) < 9e18").withColumn("v", F.col("v").cast("long"))
+    return long_.groupBy(*group, "field", "source", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def discover(votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Truth discovery over votes (g, field, source, v, n).
+
+    Returns the truths (g, field, v, support as a share of all votes on the field) and the sources (source, reliability). A value has the votes
+    for it and for those one step beside it; of equally supported values that with more votes of its own is taken, then the
+    greater. A field that nobody claims has no truth. All is counted in aggregates that combine before they shuffle, so that a group
+    may hold any share of the claims.
     """
-    value = [F.struct(F.lit(k).alias("field"), F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double")).alias("v")) for k in fields]
-    long_ = claims.select("g", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.explode(F.array(*value)).alias("x"))
-    # Equal claims of one source are counted, not kept.
-    votes = materialize(long_.select("g", "source", "x.*").where("v is not null").groupBy("g", "field", "source", "v").agg(F.count(F.lit(1)).alias("n")))
     sources, truths = materialize(votes.select("source").distinct().withColumn("reliability", F.lit(0.5))), None
-    total = Window.partitionBy("g", "field")
-    for _ in range(MAX_ROUNDS):
-        weighed = (votes.join(sources, "source").groupBy("g", "field", "v").agg(F.sum(F.col("n") * F.col("reliability")).alias("w"))
-                   .withColumn("all", F.sum("w").over(total)))
-        rank = F.struct(F.round("w", 9).alias("s"), F.col("v").alias("o"))
-        found = weighed.groupBy("g", "field").agg(F.max_by(F.struct("v", (F.col("w") / F.col("all")).alias("support")), rank).alias("t"))
+    for n in range(1, MANY_ROUNDS + 2):
+        own = votes.join(sources, "source").groupBy("g", "field", "v").agg(F.sum(F.col("n") * F.col("reliability")).alias("w"))
+        near = own.select("g", "field", F.explode(F.array(*[F.struct((F.col("v") + d).alias("v"), F.col("w"), F.lit(d == 0).alias("own")) for d in (-1, 0, 1)])).alias("x")).select("g", "field", "x.*")
+        sums = near.groupBy("g", "field", "v").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("own"), F.col("w"))).alias("own"))
+        rank = F.struct(F.round("w", 9).alias("s"), F.round("own", 9).alias("o"), F.col("v").alias("v"))
+        found = sums.where("own is not null").groupBy("g", "field").agg(F.max(F.struct(rank.alias("k"), F.col("w"))).alias("t"), F.sum("own").alias("all"))
         if truths is not None:
             discard(truths)
-        truths = materialize(found.select("g", "field", F.col("t.v").alias("value"), F.col("t.support").alias("support")))
-        held = votes.join(truths, ["g", "field"]).withColumn("ok", (F.col("v") == F.col("value")).cast("long") * F.col("n"))
+        truths = materialize(found.select("g", "field", F.col("t.k.v").alias("v"), (F.col("t.w") / F.col("all")).alias("support")))
+        held = votes.join(truths.select("g", "field", F.col("v").alias("truth")), ["g", "field"]).withColumn(
+            "ok", F.when(F.abs(F.col("v") - F.col("truth")) <= 1, F.col("n")).otherwise(0))
         after = materialize(held.groupBy("source").agg(((F.sum("ok") + 1) / (F.sum("n") + 2)).alias("reliability")))
         moved = after.join(sources.withColumnRenamed("reliability", "was"), "source").agg(F.max(F.abs(F.col("reliability") - F.col("was")))).first()[0]
         discard(sources)
         sources = after
         if not moved or moved < TOLERANCE:
             break
+        if n > MANY_ROUNDS:
+            warnings.warn(f"truth discovery stopped after {n} rounds; a reliability still moves by {moved:.2g}", stacklevel=2)
     return truths, sources
 
 
-def supported_values(grouped: DataFrame, places: dict[str, int]) -> DataFrame:
-    """What the sources say together about each group: ``hit_id`` (the lowest of its rows), the best supported value of each
+def supported_values(rows: DataFrame, keys: list[str], steps: dict[str, float], tol: float = 20.0) -> DataFrame:
+    """What the sources say together about each detection: ``hit_id`` (the lowest of its rows), the best supported value of each
     field, its share of the weighed votes as ``support_*``, and ``n_rows``.
 
-    grouped: rows of ``detection_groups`` with a ``source``. places: fields with the decimals to which their claims are rounded,
-    so that measurements that differ by less count as one value. Fields that no row claims are null.
+    rows: as in ``detection_blocks``, with a ``source``. steps: fields with the step to which their claims are rounded; values within one step
+    support each other. Fields that no row claims are null.
     """
-    claims = materialize(grouped.select("g", "hit_id", "source", *[F.round(F.col(k).cast("double"), n).alias(k) for k, n in places.items()]))
-    truths, _ = discover(claims, places)
+    blocks = detection_blocks(rows, keys, tol, first=F.min("hit_id"))
+    counted = votes_of(with_block(rows, keys, tol), [*keys, *BLOCK], steps)
+    votes = materialize(counted.join(blocks.select(*keys, *BLOCK, "g"), [*keys, *BLOCK]).groupBy("g", "field", "source", "v").agg(F.sum("n").alias("n")))
+    truths, sources = discover(votes)
     of = lambda k, c: F.max(F.when(F.col("field") == k, F.col(c)))
-    wide = truths.groupBy("g").agg(*[of(k, "value").alias(k) for k in places], *[of(k, "support").alias(f"support_{k}") for k in places])
-    size = claims.groupBy("g").agg(F.min("hit_id").alias("hit_id"), F.count(F.lit(1)).alias("n_rows"))
-    return size.join(wide, "g", "left").select("g", "hit_id", *places, *[f"support_{k}" for k in places], "n_rows")
-
-
-def best_representatives(grouped: DataFrame, order: dict[str, str]) -> DataFrame:
-    """The surviving row of each group: ``g``, ``hit_id``, the greatest or least value of each field, and ``n_rows``.
-
-    grouped: rows of ``detection_groups``. order: fields in the order of their importance; 'at_least' prefers the greatest
-    value, 'at_most' the least. Null and NaN come last. Ties end at the lowest hit_id. Sources have no say in it.
-    """
-    v = {k: F.nanvl(F.col(k).cast("double"), F.lit(None).cast("double")) for k in order}
-    keys = [(-v[k] if how == "at_most" else v[k]).alias(k) for k, how in order.items()]
-    best = [(F.min(v[k]) if how == "at_most" else F.max(v[k])).alias(f"best_{k}") for k, how in order.items()]
-    out = grouped.groupBy("g").agg(F.max(F.struct(*keys, (-F.col("hit_id")).alias("i"))).alias("b"), *best, F.count(F.lit(1)).alias("n_rows"))
-    return out.select("g", (-F.col("b.i")).alias("hit_id"), *[f"best_{k}" for k in order], "n_rows")
+    # Divided, not multiplied: a step such as 0.1 is no exact number, one over it is.
+    wide = truths.groupBy("g").agg(*[(of(k, "v") / F.lit(round(1 / s, 6))).alias(k) for k, s in steps.items()], *[of(k, "support").alias(f"support_{k}") for k in steps])
+    size = blocks.groupBy("g").agg(F.min("first").alias("hit_id"), F.sum("n").alias("n_rows"))
+    discard(votes)
+    discard(sources)
+    return size.join(wide, "g", "left").select("g", "hit_id", *steps, *[f"support_{k}" for k in steps], "n_rows")

@@ -15,36 +15,36 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.latest_versions(table(spark, sf_dir, "track_events")).withColumn("obs_id", canonical_obs(F.col("obs_id")))
 
 
-#: Decimals to which measurements are rounded before they are compared.
-PLACES = {"refined_snr": 1, "incoherent_snr": 1, "row0": 0}
+#: Steps to which measurements are rounded before they are compared.
+STEPS = {"refined_snr": 0.1, "incoherent_snr": 0.1, "row0": 1.0}
 #: The order in which fields decide, and whether the greatest or the least is preferred.
 ORDER = {"refined_snr": "at_least", "incoherent_snr": "at_least", "row0": "at_most"}
+LINE = ["obs_id", "coarse_channel"]
 
 
-def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = F.coalesce("refined_freq_hz", "freq_hz")
-    rows = table(spark, sf_dir, "hits").where(F.col("coarse_channel").between(0, 255)).select(
+    return table(spark, sf_dir, "hits").where(F.col("coarse_channel").between(0, 255)).select(
         "hit_id", canonical_obs(F.col("obs_id")).alias("obs_id"), "coarse_channel", "row0", "row1", f.alias("f"),
-        F.col("run_id").alias("source"), "refined_snr", "incoherent_snr")  # row0 is there as a bound
-    return duplicates.detection_groups(rows, ["obs_id", "coarse_channel"], ["source", "refined_snr", "incoherent_snr"])
+        F.col("run_id").alias("source"), "refined_snr", "incoherent_snr")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving hit of each detection of two or more rows."""
-    return duplicates.best_representatives(_detections(spark, sf_dir), ORDER).select("hit_id")
+    return duplicates.best_representatives(_claims(spark, sf_dir), LINE, ORDER).select("hit_id")
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each detection's greatest SNR and least row, taken field by field."""
-    out = duplicates.best_representatives(_detections(spark, sf_dir), ORDER)
+    out = duplicates.best_representatives(_claims(spark, sf_dir), LINE, ORDER)
     return out.select("hit_id", "best_refined_snr", "best_incoherent_snr", F.col("best_row0").cast("bigint").alias("best_row0"), "n_rows")
 
 
 def p1_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each detection's best supported value of every field, by votes that the reliability of the runs weighs."""
-    out = duplicates.supported_values(_detections(spark, sf_dir), PLACES)
+    out = duplicates.supported_values(_claims(spark, sf_dir), LINE, STEPS)
     return out.select("hit_id", "refined_snr", "incoherent_snr", F.col("row0").cast("bigint").alias("row0"),
-                      *[F.round(f"support_{k}", 6).alias(f"support_{k}") for k in PLACES], "n_rows")
+                      *[F.round(f"support_{k}", 6).alias(f"support_{k}") for k in STEPS], "n_rows")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
