@@ -20,11 +20,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skydrift.tables import materialize
@@ -247,11 +248,12 @@ class Seen(dict):
             self.hashes, self.kinds = [0], [FOREIGN]
 
 
-_FOUND = "doc_id long, reading int, kind int, at long, print long, key long, tokens array<long>, number array<boolean>"
+_FOUND = "doc_id long, reading int, kind int, at long, print long, block int, key long, tokens array<long>, number array<boolean>"
 
 
-def text_windows(texts: list[str], seen: Seen, wanted: Bits, kinds: list[int], length: int, radius: int) -> Iterator[tuple]:
-    """Windows of some texts that may be those of a passage: (number of the text, reading, kind, place, print, key, tokens, number flags).
+def text_windows(texts: list[str], seen: Seen, wanted: Bits, kinds: list[int], length: int, radius: int) -> Iterator[list]:
+    """Windows of some texts that may be those of a passage, for each kind as columns: number of the text, reading, kind, place, print, block, key,
+    tokens, number flags.
 
     The tokens of a window are its words with the numbers before, between and behind them that some passage may hold.
     """
@@ -259,11 +261,11 @@ def text_windows(texts: list[str], seen: Seen, wanted: Bits, kinds: list[int], l
     tokens, starts, owner = [], [0], []
     for k, t in enumerate(texts):
         for n, ws in enumerate(readings(t, seen.accepts, seen.longest)):
-            tokens += [seen[w] for w in ws]
+            tokens += map(seen.__getitem__, ws)
             tokens.append(0)  # one foreign word between readings
             starts.append(len(tokens))
             owner.append((k, n))
-    ids = np.array(tokens, np.int64)
+    ids, owner = np.array(tokens, np.int64), np.array(owner, np.int64).reshape(-1, 2)
     hashes, kind_of = np.array(seen.hashes, np.uint64), np.array(seen.kinds, np.int8)
     what = kind_of[ids]
     usable = np.flatnonzero(what != FOREIGN_NUMBER)  # such numbers stand between words, and don't matter
@@ -283,30 +285,30 @@ def text_windows(texts: list[str], seen: Seen, wanted: Bits, kinds: list[int], l
         prints = simhashes(hashes[c[kept]], size)[np.searchsorted(kept, begin)]
         keys = block_keys(prints, kind, radius)
         w, block = np.nonzero(wanted.has(keys))
-        place = np.searchsorted(usable, at)
-        for k, n in zip(w.tolist(), block.tolist()):
-            i = int(begin[k])
-            lo, hi = int(place[i]), int(place[i + size - 1]) + 1
-            if kind:  # with the numbers on either side
-                lo = int(place[i - 1]) + 1 if i else 0
-                hi = int(place[i + size]) if i + size < len(place) else len(usable)
-            part = ids[usable[lo:hi]]
-            d = int(np.searchsorted(starts, at[i], "right")) - 1
-            yield (*owner[d], kind, i, int(prints[k].view(np.int64)), int(keys[k, n].view(np.int64)), hashes[part].view(np.int64).tolist(), (kind_of[part] == NUMBER).tolist())
+        if not len(w):
+            continue
+        # Of the usable tokens, from behind the word before the window to before the word after it.
+        i, place = begin[w], np.concatenate([[-1], np.searchsorted(usable, at), [len(usable)]])
+        lo, hi = (place[i] + 1, place[i + size + 1]) if kind else (i, i + size)
+        ends = np.append(0, np.cumsum(hi - lo))
+        part = ids[usable[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], hi - lo)]]
+        d = np.searchsorted(starts, at[i], "right") - 1
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in (pa.array(hashes[part].view(np.int64)), pa.array(kind_of[part] == NUMBER))]
+        yield [owner[d, 0], owner[d, 1], np.full(len(w), kind), i, prints[w].view(np.int64), block, keys[w, block].view(np.int64), *lists]
 
 
 def _search(known, longest: int, wanted, kinds: list[int], length: int, radius: int):
     names = [x.split()[0] for x in _FOUND.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen(known.value, longest)
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 rows = [(d, t) for d, t in zip(b.column(0)[at:at + CHUNK].to_pylist(), b.column(1)[at:at + CHUNK].to_pylist()) if t]
-                out = [(rows[k][0], *x) for k, *x in text_windows([t for _, t in rows], seen, wanted.value, kinds, length, radius)]
-                cols = list(zip(*out)) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+                ids = np.array([d for d, _ in rows], np.int64)
+                for k, *rest in text_windows([t for _, t in rows], seen, wanted.value, kinds, length, radius):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip([ids[k], *rest], types)], names)
 
     return search
 
@@ -340,20 +342,29 @@ def stands_in(passage: list[int], text: list[int], number: list[bool]) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose windows are the same (tokens is null), or similar with the same words."""
     for b in batches:
         cols = [b.column(n).to_pylist() for n in ("kind", "tokens", "number", "p_tokens", "p_number", "weight")]
         good = []
         for kind, text, number, passage, p_number, weight in zip(*cols):
-            ok = text == passage
-            if not ok:
+            if text is not None:
                 plain = [w for w, n in zip(text, number) if not n] if kind else text
                 other = [w for w, n in zip(passage, p_number) if not n] if kind else passage
-                ok = similarity(plain, other, dict(zip(passage, weight))) >= SIMILARITY and stands_in(passage, text, number)
-            good.append(ok)
+                good.append(similarity(plain, other, dict(zip(passage, weight))) >= SIMILARITY and stands_in(passage, text, number))
+            else:
+                good.append(True)
         names = ["doc_id", "reading", "item_id", "start", "shift"]
         yield pa.RecordBatch.from_arrays([b.column(n) for n in names], names).filter(pa.array(good, pa.bool_()))
 
 
+def _first_block(block: str, differ: Column, radius: int) -> Column:
+    """Whether a block is the first in which two fingerprints, that differ in some bits, are equal."""
+    edges = np.linspace(0, 64, radius + 2).astype(int)
+    earlier = [F.when(F.col(block) > n, differ.bitwiseAND(((1 << int(hi - lo)) - 1 << int(lo)) - (1 << 64 if hi == 64 else 0)) != 0).otherwise(True)
+               for n, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    return reduce(lambda a, b: a & b, earlier)
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, length: int = 12, radius: int = 1,
                  doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id, n_words): items of which at least ``length`` consecutive words stand in a document.
@@ -372,9 +383,13 @@ def leaked_items(docs: DataFrame, items: DataFrame, length: int = 12, radius: in
     found = texts.mapInArrow(_search(known, longest, wanted, kinds, length, radius), _FOUND)
     index = windows.select("item_id", "kind", "start", "place", F.col("print").alias("p_print"), F.explode("keys").alias("key"), F.col("tokens").alias("p_tokens"),
                            F.col("number").alias("p_number"), "weight")
-    near = found.join(index, ["key", "kind"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("p_print"))) <= radius)
+    differ = F.col("print").bitwiseXOR(F.col("p_print"))
+    near = found.join(index, ["key", "kind"]).where((F.bit_count(differ) <= radius) & _first_block("block", differ, radius))
     # Windows that follow each other in text and passage have one shift; numbers as words are counted apart.
     near = near.withColumn("shift", F.when(F.col("kind") > 0, F.col("at") - F.col("place")).otherwise(-1 - F.col("at") + F.col("start")))
+    # Equal windows, nearly all, need no look at their words.
+    other = F.col("tokens") != F.col("p_tokens")
+    near = near.select("doc_id", "reading", "item_id", "start", "shift", "kind", *[F.when(other, F.col(c)).alias(c) for c in ("tokens", "number", "p_tokens", "p_number", "weight")])
     good = near.mapInArrow(_verify, "doc_id long, reading int, item_id long, start int, shift long").distinct()
     line = Window.partitionBy("doc_id", "reading", "item_id", "shift")
     runs = good.withColumn("run", F.col("start") - F.row_number().over(line.orderBy("start")))
