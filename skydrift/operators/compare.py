@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skydrift.functions import exprs as X
 from skydrift.operators.greedy import assign
+from skydrift.tables import materialize
 
 
 def event_times(events: DataFrame, dt_s: float) -> DataFrame:
@@ -77,10 +81,13 @@ def three_way(signals: DataFrame, events: DataFrame, matched: DataFrame) -> Data
     return out.select("signal_id", "event_id", status.alias("match_status"))
 
 
-def reference_snr() -> Column:
-    """The SNR that a signal is compared by: as realised against local noise, else as injected."""
-    known = F.nanvl("realized_local_psd_snr_db", F.lit(None).cast("double"))
-    return F.coalesce(known, F.col("injected_snr_db"))
+#: The SNR that a signal is compared by: the first of these that is known.
+REFERENCES = ("realized_local_psd_snr_db", "requested_local_psd_snr_db", "requested_snr_db", "injected_snr_db")
+
+
+def reference_snr(columns: list[str]) -> Column:
+    """That SNR, of signals with some of the columns."""
+    return F.coalesce(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in REFERENCES if c in columns])
 
 
 def quality(recovered: Column, reference: Column) -> Column:
@@ -112,26 +119,52 @@ def calibrated(rows: DataFrame, fit: DataFrame, y: str) -> DataFrame:
     return rows.withColumn("calibrated_snr_db", (F.col(y) - f["f"]["intercept_db"]) / f["f"]["slope"])
 
 
-def nominal_gain_db(n: Column) -> Column:
-    """Correction for the nominal coherent gain of n samples."""
-    return -10 * F.log10(n.cast("double"))
+def nominal_gain_db(n: int) -> float:
+    """Gain of coherent processing of n samples."""
+    return 10 * math.log10(max(n, 1))
 
 
-def nearest_event(signals: DataFrame, events: DataFrame) -> DataFrame:
+def nearest_event(signals: DataFrame, events: DataFrame, bucket_hz: float = 4096.0) -> DataFrame:
     """(signal_id, event_id, freq_err_hz, drift_err_hz_per_s, detected): of each signal the event of its observation nearest in
     frequency and drift, and whether both are within tolerance. Frequency is that at the start of the signal.
 
-    Of an observation's events only the nearest in a sum of distances counts, so events are folded into the signals' minimum;
-    an observation's signals and events are both few.
+    The cost is the distance in frequency plus ten times that in drift. Signals look in their own frequency bucket and the next ones; what is
+    found there within a bucket's width can't be beaten from beyond. Others look on in buckets four times as wide, and so on.
     """
-    p = signals.where("injected_start_freq_hz is not null").join(events.where("freq_hz is not null").select("obs_id", "event_id", "freq_hz", "drift_hz_per_s"), "obs_id")
-    df, dd = F.abs(F.col("freq_hz") - F.col("injected_start_freq_hz")), F.abs(F.col("drift_hz_per_s") - F.col("injected_drift_hz_per_s"))
-    best = p.groupBy("signal_id").agg(F.min(F.struct((df + 10 * dd).alias("c"), "event_id", df.alias("df"), dd.alias("dd"), F.coalesce("freq_tolerance_hz", F.lit(120.0)).alias("ft"),
-                                                     F.coalesce("drift_tolerance_hz_per_s", F.lit(6.0)).alias("dt"))).alias("b"))
-    return best.select("signal_id", "b.event_id", F.col("b.df").alias("freq_err_hz"), F.col("b.dd").alias("drift_err_hz_per_s"),
-                       ((F.col("b.df") <= F.col("b.ft")) & (F.col("b.dd") <= F.col("b.dt"))).alias("detected"))
-
-
-def status_summary(rows: DataFrame) -> DataFrame:
-    """Counts by match status."""
-    return rows.groupBy("match_status").agg(F.count(F.lit(1)).alias("n"))
+    s = signals.where("injected_start_freq_hz is not null").select(
+        "signal_id", "obs_id", F.col("injected_start_freq_hz").alias("f0"), F.col("injected_drift_hz_per_s").alias("d0"), F.coalesce("freq_tolerance_hz", F.lit(120.0)).alias("ft"),
+        F.coalesce("drift_tolerance_hz_per_s", F.lit(6.0)).alias("dt"))
+    e = events.where("freq_hz is not null and not isnan(freq_hz)").select("obs_id", "event_id", "freq_hz", "drift_hz_per_s")
+    span = s.select(F.col("f0").alias("f")).union(e.select("freq_hz")).agg(F.max("f") - F.min("f")).first()[0] or 0.0
+    left, width, found = materialize(s), bucket_hz, []
+    while not left.isEmpty():
+        at = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
+        near = left.withColumn("fb", F.explode(F.sequence(at("f0") - 1, at("f0") + 1))).join(e.withColumn("fb", at("freq_hz")), ["obs_id", "fb"])
+        df, dd = F.abs(F.col("freq_hz") - F.col("f0")), F.abs(F.col("drift_hz_per_s") - F.col("d0"))
+        best = near.groupBy("signal_id").agg(F.min(F.struct((df + 10 * dd).alias("c"), "event_id", df.alias("df"), dd.alias("dd"), "ft", "dt")).alias("b"))
+        # The last round has everything within its three buckets.
+        last = width > span
+        sure = materialize(best.where(F.lit(last) | (F.col("b.c") <= width)))
+        found.append(sure)
+        if last:
+            break
+        left, width = materialize(left.join(sure.select("signal_id"), "signal_id", "left_anti")), width * 4
+    out = reduce(DataFrame.unionByName, found) if found else s.limit(0).select("signal_id", F.lit(None).cast("struct<c:double,event_id:string,df:double,dd:double,ft:double,dt:double>").alias("b"))
+    return out.select("signal_id", "b.event_id", F.col("b.df").alias("freq_err_hz"), F.col("b.dd").alias("drift_err_hz_per_s"),
+                      ((F.col("b.df") <= F.col("b.ft")) & (F.col("b.dd") <= F.col("b.dt"))).alias("detected"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row about a comparison: rows by status and by quality of the match, and the lowest SNR of a matched and the highest of an unmatched
+    signal, by the reference of each. rows: match_status, match_quality and what signals have of SNR columns."""
+    have = [c for c in rows.columns if c.endswith("snr_db")]
+    pick = lambda *names: F.coalesce(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in names if c in have], F.lit(None).cast("double"))
+    local = F.col("snr_reference") == "local_psd" if "snr_reference" in rows.columns else F.lit(True)
+    snr = F.when(local, pick("realized_local_psd_snr_db", "requested_local_psd_snr_db", "injected_snr_db")).otherwise(pick("injected_realized_snr_db", "injected_snr_db"))
+    count = lambda c, *values: F.count_if(F.coalesce(F.col(c).isin(*values), F.lit(False)))
+    q = lambda *names: count("match_quality", *["geometry_match_" + n for n in names])
+    return rows.agg(
+        count("match_status", "matched", "unmatched_injected").alias("n_signals"), count("match_status", "matched").alias("n_matched"),
+        count("match_status", "unmatched_injected").alias("n_unmatched_injected"), count("match_status", "unmatched_candidate").alias("n_unmatched_candidates"),
+        q("measurement_consistent").alias("n_consistent"), q("low_measured_snr", "measurement_low").alias("n_low"), q("measurement_high").alias("n_high"),
+        F.min(F.when(F.col("match_status") == "matched", snr)).alias("lowest_matched_snr_db"), F.max(F.when(F.col("match_status") == "unmatched_injected", snr)).alias("highest_unmatched_snr_db"))

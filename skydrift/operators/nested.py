@@ -405,3 +405,23 @@ def channel_values_table(tables: dict[str, DataFrame]) -> DataFrame:
     names = ("baseband_hz", "amp_scale", "channel_rms", "realized_snr_db", "realized_local_psd_snr_db")
     return tables["channel"].where("channel_no is not null").select("report_id", "signal_no", "channel_no", _channel().alias("channel_index"),
                                                                    *[number(d, f"$.{n}").alias(n) for n in names])
+
+
+def truth_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per signal of each report as truth: resolved values, else requested ones, else defaults; what a signal doesn't have itself is
+    that of its first target channel."""
+    first = F.expr(f"try_element_at(transform({items(member('doc', 'target_channels'), {'channel_index'})}, x -> x.item), 1)")
+    t = tables["signal"].select("report_id", "signal_no", "doc", F.expr(opened(member("doc", "resolved"))).alias("res"), F.expr(opened(member("doc", "requested"))).alias("req"), first.alias("ch"))
+    of = lambda name, *places: F.coalesce(*[number(F.col(p), f"$.{name}") for p in places])
+    text = lambda name, *places: F.coalesce(*[F.try_variant_get(p, f"$.{name}", "string") for p in places])
+    zero = F.lit(0.0)
+    t = t.withColumns({"start": F.coalesce(of("start_s", "res", "req"), zero), "length": F.coalesce(of("duration_s", "res", "req"), zero)})
+    return t.select(
+        "report_id", "signal_no", F.coalesce(text("name", "doc", "req"), F.format_string("signal_%03d", "signal_no")).alias("signal_name"),
+        F.col("start").alias("injected_start_s"), F.col("length").alias("injected_duration_s"), (F.col("start") + F.col("length")).alias("injected_end_s"),
+        F.coalesce(of("start_freq_hz", "res", "req"), of("abs_freq_hz", "req"), zero).alias("injected_start_freq_hz"),
+        F.coalesce(of("drift_hz_per_s", "res", "req"), zero).alias("injected_drift_hz_per_s"), F.coalesce(of("snr_db", "res", "req"), zero).alias("injected_snr_db"),
+        of("realized_snr_db", "ch").alias("injected_realized_snr_db"), F.coalesce(text("snr_reference", "doc", "ch"), F.lit("coarse_channel")).alias("snr_reference"),
+        *[of(n, "doc", "ch").alias(n) for n in ("requested_snr_db", "requested_local_psd_snr_db", "realized_local_psd_snr_db")],
+        F.coalesce(of("freq_tolerance_hz", "req"), F.lit(120.0)).alias("freq_tolerance_hz"), F.coalesce(of("drift_tolerance_hz_per_s", "req"), F.lit(6.0)).alias("drift_tolerance_hz_per_s"),
+        of("channel_index", "ch").cast("int").alias("target_channel_index"))

@@ -1,9 +1,11 @@
-"""Geometry and thresholds. Field names are those of the YAML files, so that a configuration can be loaded as it is."""
+"""Geometry and thresholds."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, is_dataclass
 
+# Names and defaults of the fields are those of the YAML files, so that a configuration can be loaded as it is.
+
 
 @dataclass(frozen=True)
 class Contract:

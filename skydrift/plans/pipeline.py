@@ -1,112 +1,50 @@
 """From recordings to candidates, review tables, injections and benchmarks.
 
-A partition of the source is one tile with its channels, and all that a tile needs is in it: the search is one map over
-partitions, without a shuffle, and gives a bounded number of hits per tile. Events are formed from the hits.
+Rows of the source are channels of tiles. Spectrograms, seeds, drift paths and refinement are the operators that the queries
+run, and give a bounded number of hits per tile. Events are formed from the hits.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skydrift.functions import exprs as X
-from skydrift.operators import compare, events, inject, measure, raw, search, spectra
+from skydrift.operators import compare, events, inject, measure, nested, raw, search, spectra
 from skydrift.params import Runtime
 from skydrift.sources import iq_dat, tables_out
 from skydrift.tables import materialize
 
-HIT = ("obs_id string, tile_row0 long, tile_row1 long, row0 long, row1 long, coarse_channel int, fine_bin int, anchor_frame int, fine_offset_hz double, "
-       "drift_hz_per_s double, incoherent_snr double, width_bins int, backend string, seed_kind string, support_fraction double, edge_distance_bins int, "
-       "refined_snr double, refined_offset_hz double, refined_drift_hz_per_s double, coherent_gain_db double")
-
-
-def pick_bins(score: np.ndarray, valid: np.ndarray, k: int, separation: int) -> list[int]:
-    """Greedy picks of bins by falling score, apart by at least ``separation``: the array twin of ``search.nms``."""
-    out: list[int] = []
-    for b in np.lexsort((np.arange(len(score)), -score)).tolist():
-        if valid[b] and all(abs(b - c) >= separation for c in out):
-            out.append(b)
-            if len(out) >= max(1, k):
-                break
-    return out
-
+def search_tiles(tiles: DataFrame, cfg: Runtime) -> DataFrame:
+    """Hits of tiles as the source gives them, refined: the operators of ``spectra`` and ``search`` one after the other.
 
-def tile_hits(channels: list[int], samples: list[np.ndarray], cfg: Runtime) -> list[list]:
-    """Hits of one tile: [channel, bin, anchor, slope drift, snr, width, kind, support, edge, refined...]."""
+    Between scan and hits, one number per channel and bin is shuffled for the baseline, and meets its channel's samples again.
+    """
     stft, base, drift, con = cfg.search_stft, cfg.baseline, cfg.drift, cfg.contract
-    power = np.stack([spectra.stft_power(x, stft.nfft, stft.hop, stft.window) for x in samples])
-    level = 10 * np.log10(np.median(power, axis=1) + X.EPS)
-    flat = spectra.running_median(level.ravel(), base.smooth_bins).reshape(level.shape)
-    norm = power / (10 ** (flat / 10) + X.EPS)[:, None, :]
-    db = lambda a: 10 * np.log10(a + X.EPS)
-    mean, top, p90 = db(norm.mean(axis=1)), db(norm.max(axis=1)), db(np.percentile(norm, 90, axis=1))
-    bins = np.arange(stft.nfft)
-    valid = (bins >= base.edge_bins_per_coarse) & (bins < stft.nfft - base.edge_bins_per_coarse)
+    keys, tile = ["obs_id", "row0", "row1", "channel"], ["obs_id", "row0", "row1"]
+    m = spectra.spectrograms(tiles, keys, stft.nfft, stft.hop, stft.window)
+    level = materialize(spectra.smooth(spectra.bin_medians(m, keys), tile, "channel", base.smooth_bins))
+    stats = spectra.bin_stats(spectra.normalise(m, level, keys), keys)
     grid = search.drift_grid(drift)
-    slopes = grid * (stft.hop * con.dt_s if norm.shape[1] > 1 else 1.0) / (con.df_hz / stft.nfft)
-    chunk = np.arange(len(grid)) // drift.trial_chunk_size
-    found = []
-    for c, channel in enumerate(channels):
-        seeds: dict[int, tuple[float, str]] = {}
-        for kind, by, k, w in (("mean", mean, drift.seed_top_k_mean_per_channel, (0.7, 0.2, 0.1)), ("max", top, drift.seed_top_k_max_per_channel, (0.25, 0.55, 0.2))):
-            for b in pick_bins(by[c], valid, k, drift.seed_min_separation_bins):
-                s = w[0] * mean[c, b] + w[1] * top[c, b] + w[2] * p90[c, b]
-                if b not in seeds or s > seeds[b][0]:
-                    seeds[b] = (s, kind)
-        for b, (_, kind) in seeds.items():
-            anchor = int(norm[c, :, b].argmax())
-            scores, boxes = search.path_scores(norm[c], b, anchor, slopes, drift.widths)
-            w, d = np.nonzero(scores == scores.max())
-            k = np.lexsort((d, w, chunk[d]))[0]
-            w, d = w[k], d[k]
-            if scores[w, d] >= drift.snr_threshold:
-                v = boxes[w, d][~np.isnan(boxes[w, d])]
-                found.append([channel, b, anchor, float(grid[d]), float(scores[w, d]), drift.widths[w], kind,
-                              float((v > drift.support_threshold).mean()) if len(v) else 0.0, min(b, stft.nfft - 1 - b)])
-    found.sort(key=lambda h: (-h[4], h[0], h[1]))
-    at = {c: n for n, c in enumerate(channels)}
-    out = []
-    for rank, h in enumerate(found):
-        r = {}
-        if cfg.refine.enabled and rank < cfg.refine.top_n:
-            r = search.dechirp(samples[at[h[0]]], con.df_hz, h[3], cfg.refine, h[4], h[1], ridge=True)
-        if not cfg.refine.enabled or (r and r["refined_snr"] >= cfg.refine.min_refined_snr):
-            out.append([*h, *(r.get(k) for k in ("refined_snr", "refined_freq_offset_hz", "refined_drift_hz_per_s", "coherent_gain_db"))])
-    return out
-
-
-def search_tiles(tiles: DataFrame, cfg: Runtime) -> DataFrame:
-    """Hits of tiles as the source gives them: the rows of a tile follow each other within a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, channels, samples = None, [], []
-
-        def close():
-            stft, df = cfg.search_stft, cfg.contract.df_hz
-            rows = []
-            for h in tile_hits(channels, samples, cfg):
-                rows.append([key[0], key[1], key[2], key[1], key[2], h[0], h[1], h[2], (h[1] - stft.nfft // 2) * df / stft.nfft, h[3], h[4], h[5], "spark", h[6], h[7], h[8], *h[9:]])
-            return pd.DataFrame(rows, columns=[x.split()[0] for x in HIT.split(", ")])
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                k = (row.obs_id, row.row0, row.row1)
-                if k != key:
-                    if samples:
-                        yield close()
-                    key, channels, samples = k, [], []
-                channels.append(row.channel)
-                samples.append(np.asarray(row.i, float) + 1j * np.asarray(row.q, float))
-        if samples:
-            yield close()
-
-    return tiles.mapInPandas(run, HIT)
+    fine = con.df_hz / stft.nfft
+    found = search.drift_hits(search.seeds(stats, keys, drift, base.edge_bins_per_coarse), keys, grid * (stft.hop * con.dt_s / fine), drift)
+    rate = F.element_at(F.array(*[F.lit(float(d)) for d in grid]), F.col("trial") + 1)
+    found = materialize(found.withColumn("drift_hz_per_s", rate).drop("slope", "trial"))
+    none = F.lit(None).cast("double")
+    refined = {"refined_snr": none, "refined_offset_hz": none, "refined_drift_hz_per_s": none, "coherent_gain_db": none}
+    if cfg.refine.enabled:
+        best = search.top_per_tile(found, tile, cfg.refine.top_n, [F.desc("incoherent_snr"), F.asc("channel"), F.asc("fine_bin")])
+        best = materialize(best.withColumn("hit_no", F.row_number().over(Window.partitionBy(*keys).orderBy("fine_bin")) - 1))
+        lists = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hit_no", "fine_bin", "drift_hz_per_s", "incoherent_snr"))).alias("hits"))
+        again = search.refine(tiles.select(*keys, "i", "q").join(lists, keys), keys, con.df_hz, cfg.refine, ridge=True).where(F.col("refined_snr") >= cfg.refine.min_refined_snr)
+        found = best.join(again.withColumnRenamed("refined_freq_offset_hz", "refined_offset_hz"), [*keys, "hit_no"])
+        refined = {k: F.col(k) for k in refined}
+    return found.select("obs_id", F.col("row0").alias("tile_row0"), F.col("row1").alias("tile_row1"), "row0", "row1", F.col("channel").alias("coarse_channel"), "fine_bin", "anchor_frame",
+                        ((F.col("fine_bin") - stft.nfft // 2) * fine).alias("fine_offset_hz"), "drift_hz_per_s", "incoherent_snr", "width_bins", F.lit("spark").alias("backend"), "seed_kind",
+                        "support_fraction", "edge_distance_bins", *[v.alias(k) for k, v in refined.items()])
 
 
 def observations_table(spark: SparkSession, observations: list[dict], cfg: Runtime) -> DataFrame:
@@ -186,25 +124,20 @@ def review(spark: SparkSession, evts: DataFrame, observations: list[dict], cfg:
 
 def report_signals(spark: SparkSession, report: str) -> DataFrame:
     """Signals of an injection report as truth."""
-    rows = []
-    for n, s in enumerate(json.loads(Path(report).read_text(encoding="utf-8")).get("signals", [])):
-        v = (s.get("requested") or {}) | {k: x for k, x in (s.get("resolved") or {}).items() if x is not None}
-        start, length = float(v.get("start_s", 0.0)), float(v.get("duration_s", 0.0))
-        first = (s.get("target_channels") or [{}])[0]
-        rows.append((n, str(s.get("obs_id", "")), s.get("name"), start, length, start + length, v.get("start_freq_hz", v.get("abs_freq_hz")), float(v.get("drift_hz_per_s", 0.0)),
-                     float(v.get("snr_db", s.get("requested_snr_db", 0.0))), first.get("realized_local_psd_snr_db"), float(v.get("freq_tolerance_hz", 120.0)), float(v.get("drift_tolerance_hz_per_s", 6.0))))
-    return spark.createDataFrame(rows, "signal_id long, obs_id string, signal_name string, injected_start_s double, injected_duration_s double, injected_end_s double, "
-                                       "injected_start_freq_hz double, injected_drift_hz_per_s double, injected_snr_db double, realized_local_psd_snr_db double, "
-                                       "freq_tolerance_hz double, drift_tolerance_hz_per_s double")
+    payload = spark.read.text(report, wholetext=True).select(F.lit(0).cast("long").alias("report_id"), F.current_timestamp().alias("received_at"), F.col("value").alias("payload"))
+    tables = nested.report_tables(payload)
+    own = tables["signal"].select("signal_no", F.coalesce(F.try_variant_get("doc", "$.obs_id", "string"), F.lit("")).alias("obs_id"))
+    return materialize(nested.truth_table(tables).join(own, "signal_no").withColumn("signal_id", F.col("signal_no").cast("long")).drop("report_id", "signal_no"))
 
 
 def compare_with_truth(evts: DataFrame, signals: DataFrame, cfg: Runtime) -> DataFrame:
-    """Every signal and event once, with errors, quality and calibrated SNR of the matched."""
+    """Every signal and event once, with errors, quality, and nominal and calibrated SNR of the matched."""
     e = compare.event_times(evts, cfg.contract.dt_s)
     m = materialize(compare.match(signals, e))
     rows = compare.three_way(signals, e, m).join(signals.drop("obs_id"), "signal_id", "left").join(m.drop("best_refined_snr"), ["signal_id", "event_id"], "left")
     extra = [c for c in ("best_refined_snr", "band_excess_snr_db") if c in evts.columns]
-    rows = rows.join(evts.select("event_id", *extra), "event_id", "left").withColumn("reference_snr_db", compare.reference_snr())
+    rows = rows.join(evts.select("event_id", *extra), "event_id", "left")
+    rows = rows.withColumns({"reference_snr_db": compare.reference_snr(rows.columns), "estimated_raw_snr_db": F.col("best_refined_snr") - compare.nominal_gain_db(cfg.search_tile_rows)})
     if "band_excess_snr_db" in extra:
         rows = rows.withColumn("match_quality", F.when(F.col("match_status") == "matched", compare.quality(F.col("band_excess_snr_db"), F.col("reference_snr_db"))))
     fit = compare.calibration(rows.where("match_status = 'matched'"), "reference_snr_db", "best_refined_snr")
@@ -228,7 +161,7 @@ def review_build(spark: SparkSession, run_dir: str, observations: list[dict], cf
         tables_out.write_jsonl(rows, f"{out}/injection_comparison.json")
         tables_out.write_csv(rows, f"{out}/injection_comparison.csv")
         tables_out.write_html(rows, f"{out}/injection_comparison.html", "injected and found")
-        tables_out.write_summary(f"{out}/injection_comparison_summary.json", {r["match_status"]: r["n"] for r in compare.status_summary(rows).collect()})
+        tables_out.write_summary(f"{out}/injection_comparison_summary.json", compare.summary(rows).first().asDict())
     return done
 
 

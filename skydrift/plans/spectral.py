@@ -18,7 +18,7 @@ from skydrift.tables import canonical_obs, table
 KEYS = ["tile", "channel"]
 NFFT, HOP, SMOOTH = 32, 16, 9
 SCALE, RATE = 400.0, 32.0
-CFG = Drift(seed_top_k_mean_per_channel=3, seed_top_k_max_per_channel=3, seed_min_separation_bins=8, snr_threshold=-20.0, trial_chunk_size=4)
+CFG = Drift(seed_top_k_mean_per_channel=3, seed_top_k_max_per_channel=3, seed_min_separation_bins=8, snr_threshold=5.0, trial_chunk_size=4)
 SLOPES = np.arange(-6, 7) * 0.25
 REFINE = Refine(drift_half_window_hz_per_s=8.0, drift_step_hz_per_s=4.0)
 
@@ -45,10 +45,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(*KEYS).agg(s.alias("s")).select(*KEYS, F.col("s.i").alias("i"), F.col("s.q").alias("q"))
 
 
-def _normalised(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = spectra.bins(frames(spark, sf_dir), KEYS)
-    base = spectra.smooth(spectra.bin_medians(b, KEYS), ["tile"], "channel", SMOOTH)
-    return spectra.normalise(b, base, KEYS), base
+def _stats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = spectra.matrices(frames(spark, sf_dir), KEYS)
+    base = spectra.smooth(spectra.bin_medians(m, KEYS), ["tile"], "channel", SMOOTH)
+    return spectra.bin_stats(spectra.normalise(m, base, KEYS), KEYS), base
 
 
 def r(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
@@ -71,51 +71,39 @@ def stft_power(spark, sf_dir):
 
 def bin_baseline(spark, sf_dir):
     """Median and running-median baseline per bin."""
-    _, base = _normalised(spark, sf_dir)
-    return r(base, "med_db", "base_db")
+    return r(spectra.by_bin(_stats(spark, sf_dir)[1], KEYS, "med_db", "base_db"), "med_db", "base_db")
 
 
 def bin_excess(spark, sf_dir):
     """Mean, maximum and 90th percentile of the normalised power, without edge bins."""
-    norm, _ = _normalised(spark, sf_dir)
-    return r(spectra.inner_bins(spectra.bin_stats(norm, KEYS), 64, 2), "mean_db", "max_db", "p90_db")
+    stats = spectra.by_bin(_stats(spark, sf_dir)[0], KEYS, "mean_db", "max_db", "p90_db")
+    return r(spectra.inner_bins(stats, 64, 2), "mean_db", "max_db", "p90_db")
 
 
 def qc_display(spark, sf_dir):
     """Display matrix, flattened in frequency and time."""
-    out, _ = spectra.qc_display(spectra.bins(frames(spark, sf_dir), KEYS), ["tile"], "channel", SMOOTH, 5, 95)
+    out, _ = spectra.qc_display(frames(spark, sf_dir), ["tile"], "channel", SMOOTH, 5, 95)
     return r(out, "db")
 
 
 def qc_range(spark, sf_dir):
     """Display range of each tile."""
-    _, limits = spectra.qc_display(spectra.bins(frames(spark, sf_dir), KEYS), ["tile"], "channel", SMOOTH, 5, 95)
+    _, limits = spectra.qc_display(frames(spark, sf_dir), ["tile"], "channel", SMOOTH, 5, 95)
     return r(limits, "low_db", "high_db")
 
 
 def _seeds(spark, sf_dir):
-    norm, _ = _normalised(spark, sf_dir)
-    stats = spectra.inner_bins(spectra.bin_stats(norm, KEYS), 64, 2)
-    rounded = r(stats, "mean_db", "max_db", "p90_db", places=9)
-    return norm, search.seeds(rounded, norm, KEYS, CFG)
+    return search.seeds(_stats(spark, sf_dir)[0], KEYS, CFG, 2)
 
 
 def seed_picks(spark, sf_dir):
     """Greedy picks of bins with their seed score and anchor frame."""
-    return r(_seeds(spark, sf_dir)[1], "score")
-
-
-def _tiles(spark, sf_dir):
-    norm, seeds = _seeds(spark, sf_dir)
-    line = norm.groupBy(*KEYS, "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "norm"))), lambda x: x["norm"]).alias("a"))
-    matrix = line.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "a"))), lambda x: x["a"]).alias("matrix"))
-    chosen = seeds.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "anchor", "kind"))).alias("seeds"))
-    return matrix.join(chosen, KEYS)
+    return r(_seeds(spark, sf_dir).select(*KEYS, F.inline("seeds")), "score")
 
 
 def drift_hits(spark, sf_dir):
-    """Best drift path and width of each seed."""
-    return r(search.drift_hits(_tiles(spark, sf_dir), KEYS, SLOPES, CFG), "incoherent_snr", "support_fraction")
+    """Best drift path and width of each seed above a threshold."""
+    return r(search.drift_hits(_seeds(spark, sf_dir), KEYS, SLOPES, CFG).drop("trial"), "incoherent_snr", "support_fraction")
 
 
 def refine_scan(spark, sf_dir):
@@ -127,8 +115,7 @@ def refine_scan(spark, sf_dir):
 
 def parabolic_peak(spark, sf_dir):
     """Place of the strongest bin of each channel, between bins."""
-    norm, _ = _normalised(spark, sf_dir)
-    s = r(spectra.bin_stats(norm, KEYS), "mean_db", places=9)
+    s = r(spectra.by_bin(_stats(spark, sf_dir)[0], KEYS, "mean_db"), "mean_db", places=9)
     w = Window.partitionBy(*KEYS).orderBy("bin")
     s = s.withColumn("at", F.col("bin") + search.parabolic_offset(F.lag("mean_db").over(w), F.col("mean_db"), F.lead("mean_db").over(w)))
     top = s.groupBy(*KEYS).agg(F.max(F.struct("mean_db", (-F.col("bin")).alias("b"), "at")).alias("m"))
@@ -239,7 +226,7 @@ score AS (SELECT tile, channel, bin, kind, anchor, w, d, slope, avg(CASE WHEN v
   10 * log10(0.65 * avg(v) + 0.35 * list_avg(list_slice(list(v ORDER BY v DESC), 1, greatest(1, count(*) // 3))) + 1e-12) AS snr FROM box GROUP BY tile, channel, bin, kind, anchor, w, d, slope)
 SELECT tile, channel, bin AS fine_bin, anchor AS anchor_frame, kind AS seed_kind, slope, w AS width_bins, round(snr, 6) + 0.0 AS incoherent_snr,
   round(support, 6) + 0.0 AS support_fraction, least(bin, 63 - bin) AS edge_distance_bins FROM score
-QUALIFY row_number() OVER (PARTITION BY tile, channel, bin ORDER BY round(snr, 9) DESC, d // 4, w, d) = 1""",
+QUALIFY row_number() OVER (PARTITION BY tile, channel, bin ORDER BY round(snr, 9) DESC, d // 4, w, d) = 1 AND round(snr, 9) >= 5.0""",
     "refine_scan": f"""WITH {_W}, z AS (SELECT tile, channel, "row", i - avg(i) OVER w AS i, q - avg(q) OVER w AS q, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY tile, channel)),
 y AS (SELECT tile, channel, n, "row" AS k, dr, h * (i * cos(g) - q * sin(g)) AS re, h * (q * cos(g) + i * sin(g)) AS im
   FROM (SELECT *, -pi() * dr * ("row" / {RATE}) ** 2 AS g, 0.5 - 0.5 * cos(2 * pi() * "row" / (n - 1)) AS h

@@ -153,6 +153,16 @@ p AS (SELECT *, greatest(1024, {step} // 2) AS pad FROM a),
 z AS (SELECT *, greatest(lo, a0 - pad) AS st, least(hi, a1 + pad) AS en FROM p)
 SELECT {_K}, CAST(CASE WHEN n = 1 OR en <= st THEN lo ELSE st END AS BIGINT) AS row0, CAST(CASE WHEN n = 1 OR en <= st THEN hi ELSE en END AS BIGINT) AS row1 FROM z"""
 
+_SHADOWS = f"""{_EV}, c AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o, coalesce(peak_row, row0) * {_DT} AS t, n_hits <= 3 OR (row1 - row0) * {_DT} <= 3 AS brief
+  FROM e WHERE score IS NOT NULL AND NOT isnan(score)),
+p AS (SELECT a.event_id AS before, b.event_id AS after, a.brief OR b.brief AS brief, least(a.row1, b.row1) - greatest(a.row0, b.row0) AS ov, least(a.row1 - a.row0, b.row1 - b.row0) AS sh,
+    coalesce(a.freq_hz, 0) + a.drift_hz_per_s * (0.5 * (greatest(a.row0, b.row0) + least(a.row1, b.row1)) * {_DT} - a.t)
+    - coalesce(b.freq_hz, 0) - b.drift_hz_per_s * (0.5 * (greatest(a.row0, b.row0) + least(a.row1, b.row1)) * {_DT} - b.t) AS off
+  FROM c a JOIN c b ON a.o = b.o AND a.beam_id IS NOT DISTINCT FROM b.beam_id AND a.representative_coarse_channel = b.representative_coarse_channel
+    AND (a.score > b.score OR (a.score = b.score AND a.event_id < b.event_id))),
+shadow AS (SELECT before, after FROM p WHERE abs(off) <= CASE WHEN brief THEN 256 ELSE 128 END
+  AND CASE WHEN ov > 0 THEN brief OR ov / greatest(sh, 1) >= 0.5 ELSE -ov <= CASE WHEN brief THEN {E.rows_of(35.0, CFG)} ELSE {E.rows_of(6.0, CFG)} END END)"""
+
 SQL = {
     "hit_sessions": f"WITH {_S()} SELECT hit_id, {_K}, CAST(pos AS INTEGER) AS pos FROM s",
     "best_hits": f"WITH {_S()} SELECT {_K}, hit_id, anchor AS peak_row FROM s WHERE hit_id = b",
@@ -184,13 +194,13 @@ SELECT event_id, reasons, reasons LIKE '%multi_hit_event' AS passed FROM z""",
     "coincident_pairs": f"""WITH {_EV}, m AS (SELECT *, 0.5 * (row0 + row1) * {_DT} AS m FROM e)
 SELECT a.event_id AS a, b.event_id AS b FROM m a JOIN m b ON a.scan_id IS NOT DISTINCT FROM b.scan_id AND a.target_id IS NOT DISTINCT FROM b.target_id AND a.event_id < b.event_id
   AND a.beam_id IS DISTINCT FROM b.beam_id AND abs(a.m - b.m) <= 0.35 AND abs(a.freq_hz - b.freq_hz) <= 40 AND abs(a.drift_hz_per_s - b.drift_hz_per_s) <= 4""",
-    "shadow_pairs": f"""WITH {_EV}, c AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o, coalesce(peak_row, row0) * {_DT} AS t, n_hits <= 3 OR (row1 - row0) * {_DT} <= 3 AS brief
-  FROM e WHERE score IS NOT NULL AND NOT isnan(score)),
-p AS (SELECT a.event_id AS before, b.event_id AS after, a.brief OR b.brief AS brief, least(a.row1, b.row1) - greatest(a.row0, b.row0) AS ov, least(a.row1 - a.row0, b.row1 - b.row0) AS sh,
-    coalesce(a.freq_hz, 0) + a.drift_hz_per_s * (0.5 * (greatest(a.row0, b.row0) + least(a.row1, b.row1)) * {_DT} - a.t)
-    - coalesce(b.freq_hz, 0) - b.drift_hz_per_s * (0.5 * (greatest(a.row0, b.row0) + least(a.row1, b.row1)) * {_DT} - b.t) AS off
-  FROM c a JOIN c b ON a.o = b.o AND a.beam_id IS NOT DISTINCT FROM b.beam_id AND a.representative_coarse_channel = b.representative_coarse_channel
-    AND (a.score > b.score OR (a.score = b.score AND a.event_id < b.event_id)))
-SELECT before, after FROM p WHERE abs(off) <= CASE WHEN brief THEN 256 ELSE 128 END
-  AND CASE WHEN ov > 0 THEN brief OR ov / greatest(sh, 1) >= 0.5 ELSE -ov <= CASE WHEN brief THEN {E.rows_of(35.0, CFG)} ELSE {E.rows_of(6.0, CFG)} END END""",
+    "shadow_pairs": f"WITH {_SHADOWS} SELECT before, after FROM shadow",
+    # Event after event of each observation, beam and channel, the best first: one is kept if none of the kept excludes it.
+    "kept_events": f"""WITH RECURSIVE {_SHADOWS}, x AS (SELECT after, list(before) AS excl FROM shadow GROUP BY 1),
+n AS (SELECT event_id, o, coalesce(beam_id, '~null') AS bm, coalesce(representative_coarse_channel, -999999) AS ch, coalesce(excl, []) AS excl,
+    row_number() OVER (PARTITION BY o, beam_id, representative_coarse_channel ORDER BY score DESC, event_id) AS n FROM c LEFT JOIN x ON x.after = c.event_id),
+step AS (SELECT o, bm, ch, n, CASE WHEN true THEN [event_id] END AS kept FROM n WHERE n = 1
+  UNION ALL SELECT n.o, n.bm, n.ch, n.n, CASE WHEN list_has_any(kept, excl) THEN kept ELSE list_append(kept, event_id) END
+    FROM step JOIN n ON n.o = step.o AND n.bm = step.bm AND n.ch = step.ch AND n.n = step.n + 1)
+SELECT unnest(kept) AS event_id FROM (SELECT kept FROM step QUALIFY row_number() OVER (PARTITION BY o, bm, ch ORDER BY n DESC) = 1)""",
 }

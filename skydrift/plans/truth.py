@@ -9,8 +9,9 @@ from skydrift.functions import exprs as X
 from skydrift.operators import compare as C
 from skydrift.operators import inject as I
 from skydrift.operators import measure as M
-from skydrift.operators import raw, spectra
+from skydrift.operators import nested, raw, spectra
 from skydrift.params import Contract, Measurement
+from skydrift.plans import data_problems as D
 from skydrift.plans import spectral as S
 from skydrift.plans import tracks as T
 from skydrift.plans.spectral import KEYS, r
@@ -68,13 +69,13 @@ def review_list(spark, sf_dir):
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Injected signals as a plan, once each, with the axis of their observation."""
+    """Injected signals with a frequency as a plan, once each, with the axis of their observation; a missing start follows from start_row."""
     s = table(spark, sf_dir, "injected_signals").dropDuplicates(["signal_id"]).withColumn("obs_id", canonical_obs(F.col("obs_id")))
     o = table(spark, sf_dir, "observations").select("obs_id", F.coalesce("lo_hz", F.lit(1e9)).alias("lo_hz"), F.coalesce("start_coarse_channel", F.lit(512)).alias("start_channel"))
     odd = F.col("signal_id") % 3
-    s = s.join(o, "obs_id").where("injected_start_s is not null and injected_start_freq_hz is not null").select(
+    s = C.signal_times(s, T.DT).join(o, "obs_id").where("injected_start_freq_hz is not null").select(
         "signal_id", "obs_id", "lo_hz", "start_channel", "morphology", F.col("injected_start_freq_hz").alias("abs_freq_hz"), F.col("injected_snr_db").alias("snr_db"),
-        F.col("injected_drift_hz_per_s").alias("drift_hz_per_s"), F.col("injected_start_s").alias("start_s"), F.col("injected_duration_s").alias("duration_s"),
+        F.col("injected_drift_hz_per_s").alias("drift_hz_per_s"), F.col("injected_start_s").alias("start_s"), F.col("injected_start_s").isNotNull().alias("timed"), F.col("injected_duration_s").alias("duration_s"),
         F.col("width_hz").alias("bandwidth_hz"), (-F.col("injected_drift_hz_per_s")).alias("piecewise_second_drift_hz_per_s"), F.lit(3.0).alias("quadratic_hz_per_s2"),
         F.lit(12.0).alias("wobble_hz"), F.lit(0.5).alias("wobble_rate_hz"), F.lit(0.5).alias("duty_cycle"), F.lit(1.0).alias("period_s"),
         F.when(odd == 0, "local_psd").otherwise("coarse_channel").alias("snr_reference"))
@@ -99,14 +100,15 @@ def target_channels(spark, sf_dir):
 
 def instant_frequency(spark, sf_dir):
     """Frequency of each signal at eight times."""
-    s = signals(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumn("t", F.col("start_s") + F.col("duration_s") * F.col("k") / 8)
+    s = signals(spark, sf_dir).where("timed").select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")).withColumn("t", F.col("start_s") + F.col("duration_s") * F.col("k") / 8)
     s = s.withColumn("f", I.instant_frequency(F.col("t"), F.lit(100.0)) + 3.21e-7)  # off the ties of rounding
     return r(s.select("signal_id", "k", "f"), "f")
 
 
 def signal_phase(spark, sf_dir):
-    """Phase of each signal at its first rows, at eight rows a second, and whether it is on."""
-    s = signals(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.lit(95))).alias("row"))
+    """Phase of each signal from the first row of its observation to its end, at eight rows a second, and whether it is on."""
+    last = F.ceil((F.col("start_s") + F.col("duration_s")) * 8) + 1
+    s = signals(spark, sf_dir).where("timed and duration_s is not null").select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("row"))
     s = s.withColumns({"cycles": I.phase_cycles(F.col("row"), F.lit(1.5), 8.0), "env": I.envelope(F.col("row"), 8.0)})
     # Shifted off the ties of rounding, since the comparison sums row by row.
     return r(s.select("signal_id", "row", (F.col("cycles") + 3.21e-6).alias("cycles"), "env"), "cycles", "env", places=4)
@@ -114,7 +116,7 @@ def signal_phase(spark, sf_dir):
 
 def signal_course(spark, sf_dir):
     """Phase of each signal over all its rows, at eight rows a second, and whether it is on."""
-    s = signals(spark, sf_dir).select("*", F.explode(I.active_rows(8.0)).alias("row"))
+    s = signals(spark, sf_dir).where("timed").select("*", F.explode(I.active_rows(8.0)).alias("row"))
     s = s.withColumns({"cycles": I.phase_cycles(F.col("row"), F.lit(1.5), 8.0), "env": I.envelope(F.col("row"), 8.0)})
     return r(s.select("signal_id", "row", (F.col("cycles") + 3.21e-6).alias("cycles"), "env"), "cycles", "env", places=4)
 
@@ -148,12 +150,9 @@ def injected_samples(spark, sf_dir):
 
 
 def _truth(spark, sf_dir):
-    return table(spark, sf_dir, "injected_signals").dropDuplicates(["signal_id"]).withColumn("obs_id", canonical_obs(F.col("obs_id")))
-
-
-def _timed_truth(spark, sf_dir):
-    """With the times that follow from other columns. The SQL of the other queries leaves signals without a start out."""
-    return C.signal_times(_truth(spark, sf_dir), T.DT)
+    """Injected signals once each, with the times that follow from other columns."""
+    s = table(spark, sf_dir, "injected_signals").dropDuplicates(["signal_id"]).withColumn("obs_id", canonical_obs(F.col("obs_id")))
+    return C.signal_times(s, T.DT)
 
 
 def _found(spark, sf_dir):
@@ -182,24 +181,40 @@ def measured_channels(spark, sf_dir):
 
 def truth_matches(spark, sf_dir):
     """One-to-one pairs, best score first."""
-    return r(C.match(_timed_truth(spark, sf_dir), _found(spark, sf_dir)).select("signal_id", "event_id", "match_score"), "match_score")
+    return r(C.match(_truth(spark, sf_dir), _found(spark, sf_dir)).select("signal_id", "event_id", "match_score"), "match_score")
 
 
 def truth_status(spark, sf_dir):
     """Every signal and event, matched or alone."""
-    s, e = _timed_truth(spark, sf_dir), _found(spark, sf_dir)
+    s, e = _truth(spark, sf_dir), _found(spark, sf_dir)
     return C.three_way(s, e, C.match(s, e))
 
 
+def truth_summary(spark, sf_dir):
+    """Counts of the comparison by status and quality, and the limits of what was found."""
+    s, e = _truth(spark, sf_dir), _found(spark, sf_dir)
+    m = C.match(s, e)
+    rows = C.three_way(s, e, m).join(m.select("signal_id", "event_id", "best_refined_snr"), ["signal_id", "event_id"], "left").join(
+        s.select("signal_id", "realized_local_psd_snr_db", "injected_snr_db"), "signal_id", "left")
+    quality = C.quality(F.nanvl("best_refined_snr", F.lit(None).cast("double")), C.reference_snr(rows.columns))
+    return C.summary(rows.withColumn("match_quality", F.when(F.col("match_status") == "matched", quality)))
+
+
+def report_truth(spark, sf_dir):
+    """Signals of the injection reports as truth, with all fallbacks."""
+    return nested.truth_table(nested.report_tables(table(spark, sf_dir, "injection_reports")))
+
+
 def truth_quality(spark, sf_dir):
     """How well the SNR was recovered in each pair within tolerance."""
     p = C.pairs(_truth(spark, sf_dir), _found(spark, sf_dir)).where("within")
-    return p.select("signal_id", "event_id", C.quality(F.nanvl("best_refined_snr", F.lit(None).cast("double")), C.reference_snr()).alias("quality"))
+    return p.select("signal_id", "event_id", C.quality(F.nanvl("best_refined_snr", F.lit(None).cast("double")), C.reference_snr(p.columns)).alias("quality"))
 
 
 def truth_calibration(spark, sf_dir):
     """Fit of the refined SNR on the injected one over pairs within tolerance."""
-    p = C.pairs(_truth(spark, sf_dir), _found(spark, sf_dir)).where("within").withColumn("x", C.reference_snr())
+    p = C.pairs(_truth(spark, sf_dir), _found(spark, sf_dir)).where("within")
+    p = p.withColumn("x", C.reference_snr(p.columns))
     return r(C.calibration(p, "x", "best_refined_snr"), "slope", "intercept_db", "rms_residual_db", places=5)
 
 
@@ -210,7 +225,7 @@ def nearest_events(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (local_snr, aligned_profile, profile_evidence, cutout_range, predicted_tracks, review_list, nearest_channels, target_channels,
                                    instant_frequency, signal_phase, signal_course, signal_tones, power_plan, clip_summary, injected_samples, truth_pairs, event_truth, measured_channels, truth_matches,
-                                   truth_status, truth_quality, truth_calibration, nearest_events)}
+                                   truth_status, truth_summary, report_truth, truth_quality, truth_calibration, nearest_events)}
 
 _DF = "(1e9::DOUBLE / 65536)"
 _B = S._B
@@ -218,15 +233,16 @@ _CENTRE = "greatest(0, least(63, CAST(ceil(20 + channel + 0.5 * frame - 0.5) AS
 _PROFILE = f"""WITH {_B}, o AS (SELECT *, bin - {_CENTRE} AS "offset" FROM b),
 pr AS (SELECT tile, channel, "offset", avg(10 ** (log10(p + 1e-12))) AS ratio FROM o WHERE abs("offset") <= 12 GROUP BY ALL)"""
 _SIG = f"""s AS (SELECT DISTINCT signal_id, i.obs_id, coalesce(lo_hz, 1e9::DOUBLE) AS lo, coalesce(start_coarse_channel, 512) AS st, morphology AS mo, injected_start_freq_hz AS f0, injected_snr_db AS snr,
-    injected_drift_hz_per_s AS d, injected_start_s AS s0, injected_duration_s AS du, width_hz AS bw FROM (SELECT * EXCLUDE obs_id, lower(trim(replace(obs_id, '-', '_'))) AS obs_id FROM injected_signals) i
-  JOIN observations o ON i.obs_id = o.obs_id WHERE injected_start_s IS NOT NULL AND injected_start_freq_hz IS NOT NULL),
+    injected_drift_hz_per_s AS d, coalesce(injected_start_s, start_row * {T._DT}) AS s0, injected_duration_s AS du, width_hz AS bw FROM (SELECT * EXCLUDE obs_id, lower(trim(replace(obs_id, '-', '_'))) AS obs_id FROM injected_signals) i
+  JOIN observations o ON i.obs_id = o.obs_id WHERE injected_start_freq_hz IS NOT NULL),
 c AS (SELECT *, CAST(greatest(0, least(255, ceil((f0 - lo) / {_DF} - st - 0.5))) AS INTEGER) AS ch FROM s),
 g AS (SELECT *, f0 - (lo + (st + ch) * {_DF}) AS base FROM c)"""
 _F = lambda x, base: f"""CASE mo WHEN 'piecewise' THEN CASE WHEN {x} < du / 2 THEN {base} + d * {x} ELSE {base} + d * du / 2 + CASE WHEN d = 0 THEN d ELSE -d END * ({x} - du / 2) END
   WHEN 'wobble' THEN {base} + d * {x} + 12 * sin(2 * pi() * 0.5 * {x}) WHEN 'quadratic' THEN {base} + d * {x} + 1.5 * ({x}) * ({x}) ELSE {base} + d * {x} END"""
 _PAIRS = f"""WITH {T._EV}, v AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o, row0 * {T._DT} AS e0, row1 * {T._DT} AS e1,
     coalesce(peak_row * {T._DT}, 0.5 * (row0 + row1) * {T._DT}) AS pk FROM e WHERE freq_hz IS NOT NULL AND row1 > row0),
-i AS (SELECT DISTINCT * REPLACE (lower(trim(replace(obs_id, '-', '_'))) AS obs_id) FROM injected_signals),
+t0 AS (SELECT DISTINCT * REPLACE (lower(trim(replace(obs_id, '-', '_'))) AS obs_id, coalesce(injected_start_s, start_row * {T._DT}) AS injected_start_s) FROM injected_signals),
+i AS (SELECT * REPLACE (coalesce(injected_end_s, injected_start_s + injected_duration_s) AS injected_end_s) FROM t0),
 p AS (SELECT i.*, v.event_id, v.freq_hz AS ef, v.drift_hz_per_s AS ed, pk, e0, e1, best_refined_snr AS br, greatest(injected_start_s, e0) AS o0, least(injected_end_s, e1) AS o1,
     greatest(coalesce(freq_tolerance_hz, 120), 1e-9) AS ft, greatest(coalesce(drift_tolerance_hz_per_s, 6), 1e-9) AS dtol FROM i JOIN v ON v.o = i.obs_id
   WHERE least(injected_end_s, e1) > greatest(injected_start_s, e0) AND injected_start_freq_hz IS NOT NULL AND injected_end_s > injected_start_s),
@@ -235,6 +251,18 @@ q AS (SELECT *, abs((ef + ed * (o0 - pk)) - (injected_start_freq_hz + injected_d
     abs((ef + ed * (o1 - pk)) - (injected_start_freq_hz + injected_drift_hz_per_s * (o1 - injected_start_s))) AS x3 FROM p),
 z AS (SELECT *, greatest(x1, x2, x3) AS mx, sqrt((x1 * x1 + x2 * x2 + x3 * x3) / 3) AS rms, coalesce(CASE WHEN isnan(realized_local_psd_snr_db) THEN NULL ELSE realized_local_psd_snr_db END, injected_snr_db) AS x FROM q)"""
 
+_SCORE = "rms / ft + 0.1 * least(abs(ed - injected_drift_hz_per_s) / dtol, 5) + 0.05 * abs(e1 - e0 - injected_duration_s) / greatest(injected_duration_s, 1)"
+# Pair after pair of each observation, in order: a pair is taken if neither side is in a taken one.
+_MATCHED = _PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", k AS (SELECT obs_id, signal_id, event_id, {_SCORE} AS sc FROM z WHERE mx <= ft),
+n AS (SELECT *, row_number() OVER (PARTITION BY obs_id ORDER BY sc, signal_id, event_id) AS n FROM k),
+step AS (SELECT obs_id, 0::BIGINT AS n, []::BIGINT[] AS used, []::VARCHAR[] AS gone, CAST(NULL AS BIGINT) AS signal_id, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS DOUBLE) AS sc
+    FROM (SELECT DISTINCT obs_id FROM n)
+  UNION ALL SELECT n.obs_id, n.n, CASE WHEN ok THEN list_append(used, n.signal_id) ELSE used END, CASE WHEN ok THEN list_append(gone, n.event_id) ELSE gone END,
+      CASE WHEN ok THEN n.signal_id END, CASE WHEN ok THEN n.event_id END, CASE WHEN ok THEN n.sc END
+    FROM (SELECT step.obs_id, step.n, used, gone, n.signal_id AS si, n.event_id AS ev, NOT list_contains(used, n.signal_id) AND NOT list_contains(gone, n.event_id) AS ok
+          FROM step JOIN n ON n.obs_id = step.obs_id AND n.n = step.n + 1) x JOIN n ON n.obs_id = x.obs_id AND n.n = x.n + 1),
+matched AS (SELECT signal_id, event_id, sc FROM step WHERE signal_id IS NOT NULL)"""
+
 SQL = {
     "local_snr": f"""WITH {_B}, c0 AS (SELECT *, {_CENTRE} AS c0 FROM b),
 cc AS (SELECT tile, channel, frame, arg_max(bin, {{'p': p, 'b': -bin}}) AS c FROM c0 WHERE abs(bin - c0) <= 1 GROUP BY ALL),
@@ -265,9 +293,9 @@ SELECT event_id, round(t, 3) + 0.0 AS t_s, round(freq_hz + drift_hz_per_s * (t -
 u AS (SELECT *, unnest(CASE o WHEN 0 THEN range(a, z, 3) WHEN 1 THEN range(a, z) ELSE [ch] END) AS channel, unnest(range(CASE o WHEN 0 THEN len(range(a, z, 3)) WHEN 1 THEN len(range(a, z)) ELSE 1 END)) AS no FROM t)
 SELECT signal_id, CAST(no AS INTEGER) AS no, CAST(channel AS INTEGER) AS channel, round(base + (ch - channel) * {_DF}, 3) + 0.0 AS baseband_hz,
   round(CASE WHEN o = 2 THEN 1 WHEN signal_id % 2 = 0 THEN greatest(0.25, 1 - abs(no - 3.0) / 3.0) WHEN no % 2 = 0 THEN 1 ELSE 0.55 END, 3) + 0.0::DOUBLE AS amp_scale FROM u""",
-    "instant_frequency": f"""WITH {_SIG}, t AS (SELECT *, s0 + du * k / 8 - s0 AS x FROM (SELECT *, unnest(range(8)) AS k FROM g))
+    "instant_frequency": f"""WITH {_SIG}, t AS (SELECT *, s0 + du * k / 8 - s0 AS x FROM (SELECT *, unnest(range(8)) AS k FROM g WHERE s0 IS NOT NULL))
 SELECT signal_id, k, round(({_F('x', '100')}) + 3.21e-7, 6) + 0.0 AS f FROM t""",
-    "signal_phase": f"""WITH {_SIG}, t AS (SELECT *, k / 8.0 - s0 AS x FROM (SELECT *, unnest(range(96)) AS k FROM g)),
+    "signal_phase": f"""WITH {_SIG}, t AS (SELECT *, k / 8.0 - s0 AS x FROM (SELECT *, unnest(range(CAST(ceil((s0 + du) * 8) AS BIGINT) + 2)) AS k FROM g WHERE s0 IS NOT NULL AND du IS NOT NULL)),
 w AS (SELECT *, sum({_F('x', '1.5')}) OVER (PARTITION BY signal_id ORDER BY k) / 8 AS cy, k >= floor(s0 * 8) AND k < floor(s0 * 8) + floor(du * 8) AS is_on FROM t)
 SELECT signal_id, k AS "row", round(cy + 3.21e-6, 4) + 0.0 AS cycles, CAST(CASE WHEN mo = 'intermittent' THEN is_on AND (k - floor(s0 * 8)) / 8 - floor((k - floor(s0 * 8)) / 8) <= 0.5
   WHEN mo = 'dualburst' THEN is_on OR (k >= 6 AND k < 7) ELSE is_on END AS DOUBLE) AS env FROM w""",
@@ -285,6 +313,34 @@ SELECT tile, channel, 2 * count(*) AS n_components, CAST(sum((i < -128 OR i > 12
   round(rms / ft + 0.1 * least(abs(ed - injected_drift_hz_per_s) / dtol, 5) + 0.05 * abs(e1 - e0 - injected_duration_s) / greatest(injected_duration_s, 1), 4) + 0.0 AS match_score, mx <= ft AS within FROM z""",
     "event_truth": _PAIRS + """, k AS (SELECT *, rms / ft + 0.1 * least(abs(ed - injected_drift_hz_per_s) / dtol, 5) + 0.05 * abs(e1 - e0 - injected_duration_s) / greatest(injected_duration_s, 1) AS sc FROM z)
 SELECT event_id, signal_id, round(sc, 4) + 0.0 AS match_score FROM k QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY sc, signal_id) = 1""",
+    "truth_matches": _MATCHED + " SELECT signal_id, event_id, round(sc, 6) + 0.0 AS match_score FROM matched",
+    "truth_status": _MATCHED + """ SELECT s.signal_id, coalesce(m.event_id, NULL) AS event_id, CASE WHEN m.event_id IS NULL THEN 'unmatched_injected' ELSE 'matched' END AS match_status
+FROM (SELECT DISTINCT signal_id FROM injected_signals) s LEFT JOIN matched m USING (signal_id)
+UNION ALL SELECT NULL, event_id, 'unmatched_candidate' FROM e WHERE event_id NOT IN (SELECT event_id FROM matched)""",
+    "truth_summary": _MATCHED + """, w AS (SELECT DISTINCT z.signal_id, br, x FROM z JOIN matched USING (signal_id, event_id)),
+u AS (SELECT DISTINCT signal_id, coalesce(CASE WHEN isnan(realized_local_psd_snr_db) THEN NULL ELSE realized_local_psd_snr_db END, injected_snr_db) AS x FROM injected_signals
+  WHERE signal_id NOT IN (SELECT signal_id FROM matched))
+SELECT (SELECT count(DISTINCT signal_id) FROM injected_signals) AS n_signals, count(*) AS n_matched, (SELECT count(*) FROM u) AS n_unmatched_injected,
+  (SELECT count(*) FROM e WHERE event_id NOT IN (SELECT event_id FROM matched)) AS n_unmatched_candidates,
+  count(*) FILTER (NOT (br <= 0 AND x >= 2) AND abs(br - x) <= 3) AS n_consistent, count(*) FILTER ((br <= 0 AND x >= 2) OR br - x < -3) AS n_low,
+  count(*) FILTER (NOT (br <= 0 AND x >= 2) AND br - x > 3) AS n_high, min(x) AS lowest_matched_snr_db, (SELECT max(x) FROM u) AS highest_unmatched_snr_db
+FROM (SELECT signal_id, CASE WHEN isnan(br) THEN NULL ELSE br END AS br, x FROM w)""",
+    "report_truth": D._P4 + """, o AS (SELECT report_id, signal_no, sig, tc, CASE WHEN json_type(sig -> '$.resolved') = 'VARCHAR' THEN CAST(sig ->> '$.resolved' AS JSON) ELSE sig -> '$.resolved' END AS res,
+    CASE WHEN json_type(sig -> '$.requested') = 'VARCHAR' THEN CAST(sig ->> '$.requested' AS JSON) ELSE sig -> '$.requested' END AS req FROM (SELECT g.*, t.tc FROM g JOIN t USING (report_id, signal_no))),
+f AS (SELECT *, CASE WHEN json_type(tc) = 'ARRAY' THEN tc -> '$[0]' WHEN json_type(tc) = 'OBJECT' AND json_exists(tc, '$.channel_index') THEN tc
+    WHEN json_type(tc) = 'OBJECT' THEN json_extract(tc, '$."' || list_sort(json_keys(tc))[1] || '"') END AS ch FROM o),
+d AS (SELECT *, coalesce(TRY_CAST(res ->> '$.start_s' AS DOUBLE), TRY_CAST(req ->> '$.start_s' AS DOUBLE), 0) AS st,
+    coalesce(TRY_CAST(res ->> '$.duration_s' AS DOUBLE), TRY_CAST(req ->> '$.duration_s' AS DOUBLE), 0) AS du FROM f)
+SELECT report_id, CAST(signal_no AS INTEGER) AS signal_no, coalesce(sig ->> '$.name', req ->> '$.name', printf('signal_%03d', signal_no)) AS signal_name, st AS injected_start_s, du AS injected_duration_s,
+  st + du AS injected_end_s, coalesce(TRY_CAST(res ->> '$.start_freq_hz' AS DOUBLE), TRY_CAST(req ->> '$.start_freq_hz' AS DOUBLE), TRY_CAST(req ->> '$.abs_freq_hz' AS DOUBLE), 0) AS injected_start_freq_hz,
+  coalesce(TRY_CAST(res ->> '$.drift_hz_per_s' AS DOUBLE), TRY_CAST(req ->> '$.drift_hz_per_s' AS DOUBLE), 0) + 0.0 AS injected_drift_hz_per_s,
+  coalesce(TRY_CAST(res ->> '$.snr_db' AS DOUBLE), TRY_CAST(req ->> '$.snr_db' AS DOUBLE), 0) + 0.0 AS injected_snr_db, TRY_CAST(ch ->> '$.realized_snr_db' AS DOUBLE) AS injected_realized_snr_db,
+  coalesce(sig ->> '$.snr_reference', ch ->> '$.snr_reference', 'coarse_channel') AS snr_reference,
+  coalesce(TRY_CAST(sig ->> '$.requested_snr_db' AS DOUBLE), TRY_CAST(ch ->> '$.requested_snr_db' AS DOUBLE)) AS requested_snr_db,
+  coalesce(TRY_CAST(sig ->> '$.requested_local_psd_snr_db' AS DOUBLE), TRY_CAST(ch ->> '$.requested_local_psd_snr_db' AS DOUBLE)) AS requested_local_psd_snr_db,
+  coalesce(TRY_CAST(sig ->> '$.realized_local_psd_snr_db' AS DOUBLE), TRY_CAST(ch ->> '$.realized_local_psd_snr_db' AS DOUBLE)) AS realized_local_psd_snr_db,
+  coalesce(TRY_CAST(req ->> '$.freq_tolerance_hz' AS DOUBLE), 120) AS freq_tolerance_hz, coalesce(TRY_CAST(req ->> '$.drift_tolerance_hz_per_s' AS DOUBLE), 6) AS drift_tolerance_hz_per_s,
+  CAST(TRY_CAST(ch ->> '$.channel_index' AS DOUBLE) AS INTEGER) AS target_channel_index FROM d""",
     "measured_channels": f"""WITH {T._EV} SELECT event_id, CAST(coalesce(CASE WHEN representative_coarse_channel BETWEEN 0 AND 255 THEN representative_coarse_channel END,
     greatest(0, least(255, ceil((freq_hz - coalesce(lo_hz, 1e9::DOUBLE)) / {_DF} - coalesce(start_coarse_channel, 512) - 0.5))), 128) AS INTEGER) AS channel,
   CAST(greatest(1, least(17, CASE WHEN n_hits > 2 THEN ceil(n_hits * 4.0 / ({_DF} / 2048)) ELSE best_width_bins END)) AS INTEGER) AS ridge_bins
