@@ -1,13 +1,15 @@
 """Text that was decoded with the wrong character encoding: which records, and what they said.
 
-1. Every text is cut into the words that hold characters beyond ASCII; a record is clean unless one of them
+1. Every text is cut into the words that hold characters beyond ASCII or question marks; a record is clean unless one of them
    holds a replacement or control character or is valid UTF-8 in the bytes of a one-byte encoding.
 2. A smoothed character trigram model is trained on those words of all clean records. Its counts are hashed
    into a table of fixed size, so what is sent about doesn't grow with the data.
 3. Each distinct word is put through every chain (encode as it was read, decode as it was meant, for UTF-8
    also twice); the likeliest result counts if it is likelier than the word as it stands by more than a margin.
    The margin is set on words of clean records, as they stand and garbled on purpose.
-4. A record is affected if such words, or replacement characters, occur in it.
+4. Replacement and control characters, and question marks, may stand for characters that were lost. The likeliest text with characters
+   beyond ASCII in their place is compared with the word as it stands, a question mark counting as a rarer full stop.
+5. A record is affected if words beyond the margin occur in it, or if what speaks for loss in all of its words adds up to more.
 """
 
 from __future__ import annotations
@@ -50,8 +52,15 @@ SHORT, CONTEXT = 3, 2
 #: at most FALSE_SHARE of the distinct clean words exceed as they stand.
 STRICT, MARGINS, FALSE_SHARE = 5.0, (2.0, 2.5, 3.0, 4.0, 5.0), 0.002
 
-#: A run of so many question marks stands for characters that an encoding couldn't hold.
+#: What takes part in the search for lost characters: so many of the most frequent characters beyond ASCII, and so many beginnings of a word.
+ALPHABET, BEAM = 256, 4
+#: Nats of a question mark over a full stop, and of each further mark of a run.
+QUESTION, REPEATED = -3.0, -1.2
+#: Records with such a run are no training text.
 _LOST = "????"
+_RUN, _ALONE = re.compile(r"\?+"), re.compile(r" \?+")
+#: Places of characters that may have been lost.
+_GAP = re.compile("[?\ufffd\x80-\x84\x86-\x9f]")
 #: No clean text has these; a soft hyphen or other invisible character alone makes no word garbled.
 _BAD = re.compile("[�\x80-\x84\x86-\x9f]")
 _VISIBLE = re.compile("[^\x00-\x7f\x85\xa0\xad\u200b-\u200f\u2060\ufeff]")
@@ -109,15 +118,13 @@ def is_suspect(word: str) -> bool:
 
 
 def foreign_words(text: str) -> list[str]:
-    """Words of a text (between ASCII blanks and controls) that hold a character beyond ASCII or a run of question marks; short ones with what is
+    """Words of a text (between ASCII blanks and controls) that hold a character beyond ASCII or a question mark; short ones with what is
     on either side, since a character or two say little."""
-    if text.isascii() and _LOST not in text:
+    if text.isascii() and "?" not in text:
         return []
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blanks = np.concatenate([[-1], np.flatnonzero(codes <= 32), [len(codes)]])
-    odd = np.flatnonzero(codes > 127)
-    if _LOST in text:
-        odd = np.append(odd, [m.start() for m in re.finditer(re.escape(_LOST), text)]).astype(np.int64)
+    odd = np.flatnonzero((codes > 127) | (codes == ord("?")))
     at = np.unique(np.searchsorted(blanks, odd))
     out = []
     for a, b in zip(blanks[at - 1].tolist(), blanks[at].tolist()):
@@ -152,7 +159,11 @@ def _slots(codes: np.ndarray) -> list[np.ndarray]:
     """Slots of the unigram, of the bigram (two) and of the trigram (two) that end at each character."""
     c = codes.astype(np.uint64)
     b = np.append(np.uint64(32), c[:-1])
-    a = np.append(np.uint64(32), b[:-1])
+    return _slots_of(np.append(np.uint64(32), b[:-1]), b, c)
+
+
+def _slots_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """The same of characters ``c`` after ``a`` and ``b``."""
     out = [(c & np.uint64(SLOTS - 1)).astype(np.int64)]
     for k, mix in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
         m, down = np.uint64(mix), np.uint64(64 - BITS)
@@ -183,6 +194,8 @@ class Model:
         self.table = np.zeros(5 * SLOTS, np.float32)
         self.table[slots] = counts
         self.total = max(1.0, float(self.table[:SLOTS].sum(dtype=np.float64)))
+        beyond = np.flatnonzero(self.table[160:SLOTS]) + 160
+        self.alphabet = beyond[np.lexsort((beyond, -self.table[beyond]))[:ALPHABET]].astype(np.uint64)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word, with the blank after it."""
@@ -202,6 +215,47 @@ class Model:
         p[first] = p[first + 1] = 0
         return np.add.reduceat(p, first)
 
+    def after(self, z: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probabilities of characters ``c`` after ``a`` and ``b``, before which ``z`` stood, and the counts of these three."""
+        now, before = _slots_of(a, b, c), _slots_of(z, a, b)
+        t, u = [self.table.take(x).astype(np.float64) for x in now], [self.table.take(x).astype(np.float64) for x in before[:3]]
+        p = (t[0] + 0.5) / (self.total + 0.5 * 65536)
+        two, three = np.minimum(t[1], t[2]), np.minimum(t[3], t[4])
+        p = (two + SMOOTH * p) / (np.maximum(u[0], two) + SMOOTH)
+        return np.log((three + SMOOTH * p) / (np.maximum(np.minimum(u[1], u[2]), three) + SMOOTH)), three
+
+    def filled(self, word: str) -> float:
+        """Log-probability of the likeliest text with characters beyond ASCII in the places of the word that may have lost theirs; minus infinity if there
+        is none. What stands for a question mark must be known after the two characters before it."""
+        texts, scores = np.full((1, 3), 32, np.uint64), np.zeros(1)
+        for ch in word + " ":
+            gap = _GAP.match(ch)
+            options = self.alphabet if gap else np.array([ord(ch)], np.uint64)
+            old, c = np.repeat(texts, len(options), axis=0), np.tile(options, len(texts))
+            p, known = self.after(old[:, 0], old[:, 1], old[:, 2], c)
+            total = np.repeat(scores, len(options)) + p
+            top = np.argsort(-total, kind="stable")
+            top = (top[known[top] > 0] if ch == "?" else top)[:BEAM]
+            if not len(top):
+                return -np.inf
+            texts, scores = np.concatenate([old[top, 1:], c[top, None]], axis=1), total[top]
+        return float(scores[0])
+
+    def losses(self, words: list[str]) -> list[float | None]:
+        """By how much each word is likelier with lost characters than as it stands, in nats; None if nothing in it may be lost.
+
+        As it stands a run of question marks counts as a stop, or a comma, behind the text or the blank before it, that is rarer.
+        """
+        at = [k for k, w in enumerate(words) if _GAP.search(w)]
+        plain = [[f(words[k]) for k in at] for f in (lambda w: _RUN.sub(".", w), lambda w: _RUN.sub(",", w), lambda w: _ALONE.sub(".", w))]
+        stands = np.max([self.scores(p) for p in plain], axis=0) if at else []
+        out: list[float | None] = [None] * len(words)
+        for k, own in zip(at, stands):
+            marks = [len(m[0]) for m in _RUN.finditer(words[k])]
+            loss = self.filled(words[k]) - float(own) - QUESTION * len(marks) - REPEATED * (sum(marks) - len(marks))
+            out[k] = loss if loss > -np.inf else None
+        return out
+
     def best(self, words: list[str]) -> list[tuple[str | None, str | None, float, float]]:
         """Of each word the likeliest chain, the text it gives, its score, and the score of the word as it stands."""
         options = [candidates(w) if _VISIBLE.search(w) else {} for w in words]
@@ -262,18 +316,26 @@ def recall(model: Model, clean: list[tuple[str, int]], total: float, margin: flo
     return sum(hits) / max(1, len(hits))
 
 
+def _explained(found: tuple) -> bool:
+    return found[0] is not None and found[2] - found[3] > max(STRICT, MARGINS[-1])
+
+
 def _judge(model):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, words = [], b.column(0).to_pylist()
-            for w, n, found in zip(words, b.column(1).to_pylist(), model.value.best(words)):
-                lost = bool(_BAD.search(w)) or _LOST in w
-                if found[0] or lost:
-                    rows.append((w, n, *found, lost))
+            words = b.column(0).to_pylist()
+            best = model.value.best(words)
+            # What a chain explains beyond any margin needs no other explanation.
+            losses = iter(model.value.losses([w for w, f in zip(words, best) if not _explained(f)]))
+            rows = []
+            for w, n, found in zip(words, b.column(1).to_pylist(), best):
+                loss = None if _explained(found) else next(losses)
+                if found[0] or (loss is not None and loss > 0):
+                    rows.append((w, n, *found, loss))
             cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                             ["word", "n", "chain", "restored", "score", "own", "lost"])
+                                             ["word", "n", "chain", "restored", "score", "own", "loss"])
 
     return judge
 
@@ -311,8 +373,9 @@ def _steps(margin: float) -> list[float]:
     return [margin, *[m for m in MARGINS if m > margin]]
 
 
-def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: dict[str, int] | None = None) -> DataFrame:
-    """(word, chain, restored, gain, lost) of the words that the model of the vocabulary's clean words takes for garbled.
+def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: dict[str, int] | None = None) -> tuple[DataFrame, float]:
+    """(word, chain, restored, gain, loss) of the words that the model of the vocabulary's clean words takes for garbled, or that may have lost
+    characters; and the margin.
 
     With the distinct words of each chain of which another model was ``sure``, each chain gets its own margin.
     """
@@ -322,7 +385,7 @@ def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: d
     total = float(total or 1)
     shared = words.sparkSession.sparkContext.broadcast(model)
     judged = materialize(vocabulary.mapInArrow(
-        _judge(shared), "word string, n long, chain string, restored string, score double, own double, lost boolean"))
+        _judge(shared), "word string, n long, chain string, restored string, score double, own double, loss double"))
     if margin is None:
         margin = margin_of_all(judged, total, distinct)
     known = clean.select(F.col("word").alias("restored"), F.col("n").alias("n_restored"))
@@ -337,33 +400,42 @@ def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: d
         for chain, least in chain_margins(sure, {r[0]: list(r[1:]) for r in rows}, margin).items():
             if least > margin:
                 need = F.when(F.col("chain") == chain, F.lit(least)).otherwise(need)
-    return (
+    found = (
         scored.withColumn("sure", F.col("chain").isNotNull() & (F.col("gain") > need))
-        .where("sure or lost")
+        .where("sure or loss > 0")
         .select("word", F.when(F.col("sure"), F.col("chain")).alias("chain"), F.when(F.col("sure"), F.col("restored")).alias("restored"),
-                F.when(F.col("sure"), F.col("gain")).otherwise(0.0).alias("gain"), "lost")
+                F.when(F.col("sure"), F.col("gain")).otherwise(0.0).alias("gain"), F.greatest("loss", F.lit(0.0)).alias("loss"))
     )
+    return materialize(found), margin
+
+
+def _places(words: DataFrame, found: DataFrame, margin: float) -> DataFrame:
+    """Found words with their records: those that a chain explains, and those of records in which the losses of all words add up to more than
+    the margin."""
+    here = words.select("doc_id", "word", "n").join(found, "word")
+    lost = here.groupBy("doc_id").agg(F.sum("loss").alias("l")).where(F.col("l") > margin).select("doc_id", F.lit(True).alias("loses"))
+    here = here.join(lost, "doc_id", "left").withColumn("lost", F.coalesce("loses", F.lit(False)) & (F.coalesce("loss", F.lit(0.0)) > 0))
+    return here.where("chain is not null or lost").select("doc_id", "word", "n", "chain", "restored", "gain", "lost", F.when(F.col("lost"), F.col("loss")).otherwise(0.0).alias("loss"))
 
 
 def garbled_words(docs: DataFrame, doc: str = "doc_id", text: str = "text", margin: float | None = None) -> DataFrame:
-    """(doc_id, word, n, chain, restored, gain, lost) of all wrongly decoded words of all documents.
+    """(doc_id, word, n, chain, restored, gain, lost, loss) of all wrongly decoded words of all documents.
 
-    chain is what made the word ('meant>read'), restored what it said; where ``lost`` is true the word holds
-    replacement or control characters, and chain and restored are null if no chain explains it. Null, empty and plain
-    ASCII texts have none. Identifiers are integers; rows with a null identifier are left out.
+    chain is what made the word ('meant>read'), restored what it said; where ``lost`` is true characters of the word are lost, with
+    ``loss`` nats for that, and chain and restored are null if no chain explains the rest. Null, empty and plain
+    ASCII texts without question marks have none. Identifiers are integers; rows with a null identifier are left out.
     """
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     words = materialize(rows.mapInArrow(_words, "doc_id long, word string, n long, clean boolean"))
-    found = materialize(_find(words, _vocabulary(words), STRICT))
+    found, _ = _find(words, _vocabulary(words), STRICT)
     # No more chains than there are pairs and double readings.
     sure = {r[0]: r[1] for r in found.where("chain is not null").groupBy("chain").agg(F.count(F.lit(1)).alias("n")).collect()}
     # What the first model is sure of leaves the training text of the second.
-    bad = words.join(found.select("word"), "word", "left_semi").select("doc_id").distinct()
-    pure = words.join(materialize(bad), "doc_id", "left_anti")
-    clean = _vocabulary(pure)
+    bad = materialize(_places(words, found, STRICT).select("doc_id").distinct())
+    clean = _vocabulary(words.join(bad, "doc_id", "left_anti"))
     every = materialize(words.select("word").distinct().join(clean, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n")))
-    found = materialize(_find(words, every, margin, sure))
-    return words.select("doc_id", "word", "n").join(found, "word")
+    found, least = _find(words, every, margin, sure)
+    return _places(words, found, least)
 
 
 def affected(docs: DataFrame, **kwargs) -> DataFrame:
