@@ -16,7 +16,6 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +27,8 @@ from skydrift.tables import discard, materialize
 #: Truth discovery ends when no reliability moves by more; a run that needs more rounds warns.
 TOLERANCE, MANY_ROUNDS = 1e-4, 200
 BLOCK = ("fc", "lc", "tb")
+#: Length classes to a level of time buckets, and quarters of the tolerance to a frequency bucket.
+LEVEL, WIDE = 3, 32
 
 
 def _shift(v: Column, bits: Column) -> Column:
@@ -50,28 +51,37 @@ def block_links(blocks: DataFrame, keys: list[str], tol: float) -> DataFrame:
     """(a, b, sure): pairs of blocks of which some rows are linked for sure, or may be.
 
     The middle of the shorter range lies in the longer one. So a block is looked up, at its middles, in time buckets of each
-    length class that occurs from its own on, and holds the buckets of its own class that its rows touch.
+    level (three length classes) that occurs from its own on, and holds the buckets of its own level that its rows touch. What is joined on
+    is a hash of keys, level and buckets, beside another of the keys.
     """
-    classes = sorted(r[0] for r in blocks.select("lc").distinct().collect())  # at most 63
-    wide = F.floor(F.col("fc") / 16)
-    bounds = ("node", "lc", "f0", "f1", "r00", "r01", "r10", "r11", "l0", "l1")
-    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in bounds]
-    touch = lambda lo, hi, bits: F.explode(F.sequence(_shift(lo, bits), _shift(hi, bits)))
-    known = F.array(*[F.lit(c) for c in classes]) if classes else F.array().cast("array<int>")
-    a = blocks.withColumn("level", F.explode(F.filter(known, lambda c: c >= F.col("lc")))).withColumn("fb", wide)
-    a = a.withColumn("t", touch(F.col("r00") + F.expr("l0 div 2"), F.col("r01") + F.expr("l1 div 2"), F.col("level") + 1)).select(*keys, "level", "fb", "t", *named("a"))
-    edge = F.pmod(F.col("fc"), F.lit(16))
-    b = blocks.withColumn("level", F.col("lc")).withColumn(
-        "fb", F.explode(F.when(edge < 5, F.array(wide, wide - 1)).when(edge > 10, F.array(wide, wide + 1)).otherwise(F.array(wide))))
-    b = b.withColumn("t", touch(F.col("r00"), F.col("r11") - 1, F.col("level") + 1)).select(*keys, "level", "fb", "t", *named("b"))
-    p = a.join(b, [*keys, "level", "fb", "t"]).where((F.col("a_lc") < F.col("b_lc")) | (F.col("a_node") < F.col("b_node")))
-    # The bounds of what two rows share, of the shorter length, and of the difference in frequency.
+    level = F.floor(F.col("lc") / LEVEL).cast("int")
+    known = sorted(r[0] for r in blocks.select(level).distinct().collect())  # at most 21
+    bits = (F.col("level") + 1) * LEVEL
+    wide, edge = F.floor(F.col("fc") / WIDE), F.pmod(F.col("fc"), F.lit(WIDE))
+    bounds = ("node", "lc", "f0", "f1", "r00", "r01", "r10", "r11")
+    touch = lambda lo, hi: F.explode(F.sequence(_shift(lo, bits), _shift(hi, bits)))
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(F.xxhash64(*keys, "level", "fb", "t").alias("at"), F.hash(*keys).alias("line"), *[F.col(c).alias(f"{x}_{c}") for c in bounds])
+
+    levels = F.array(*[F.lit(c) for c in known]) if known else F.array().cast("array<int>")
+    a = blocks.withColumn("level", F.explode(F.filter(levels, lambda c: c >= level))).withColumn("fb", wide)
+    # Rows of a block are of one length class, so their middles are these or between them.
+    a = side(a.withColumn("t", touch(_shift(F.col("r00") + F.col("r10"), F.lit(1)), _shift(F.col("r01") + F.col("r11"), F.lit(1)))), "a")
+    b = blocks.withColumn("level", level).withColumn(
+        "fb", F.explode(F.when(edge < 5, F.array(wide, wide - 1)).when(edge > WIDE - 6, F.array(wide, wide + 1)).otherwise(F.array(wide))))
+    b = side(b.withColumn("t", touch(F.col("r00"), F.col("r11") - 1)), "b")
+    p = a.join(b, ["at", "line"]).where((F.col("a_lc") < F.col("b_lc")) | ((F.col("a_lc") == F.col("b_lc")) & (F.col("a_node") != F.col("b_node"))))
+    # In one class either may be the shorter, so such pairs are sought from both. The bounds of what two rows share, of the shorter length, and of the difference in frequency.
     most, least = F.least("a_r11", "b_r11") - F.greatest("a_r00", "b_r00"), F.least("a_r10", "b_r10") - F.greatest("a_r01", "b_r01")
+    one = F.lit(1).cast("long")
+    longest = lambda x: F.least(F.col(f"{x}_r11") - F.col(f"{x}_r00"), F.call_function("shiftleft", one, F.col(f"{x}_lc") + 1) - 1)
+    shortest = lambda x: F.greatest(F.col(f"{x}_r10") - F.col(f"{x}_r01"), F.call_function("shiftleft", one, F.col(f"{x}_lc")))
     near = F.greatest(F.col("a_f0") - F.col("b_f1"), F.col("b_f0") - F.col("a_f1")) <= tol
     all_near = F.greatest(F.col("a_f1") - F.col("b_f0"), F.col("b_f1") - F.col("a_f0")) <= tol
-    may = near & (most * 2 > F.least("a_l0", "b_l0"))
-    sure = all_near & (least * 2 > F.least("a_l1", "b_l1"))
-    return p.where(may).groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.max(sure).alias("sure"))
+    may = near & (most * 2 > F.least(shortest("a"), shortest("b")))
+    sure = all_near & (least * 2 > F.least(longest("a"), longest("b")))
+    return p.where(may).groupBy(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).agg(F.max(sure).alias("sure"))
 
 
 def _exact_links(undecided: DataFrame, blocks: DataFrame, rows: DataFrame, keys: list[str], tol: float) -> DataFrame:
@@ -91,10 +101,10 @@ def detection_blocks(rows: DataFrame, keys: list[str], tol: float = 20.0, **carr
     rows: ``hit_id`` (unique), keys, ``row0``, ``row1``, ``f``, and what the aggregates need. Rows that ``with_block`` leaves out belong to
     no detection.
     """
-    rows, length = with_block(rows, keys, tol), F.col("row1") - F.col("row0")
+    rows = with_block(rows, keys, tol)
     blocks = materialize(rows.groupBy(*keys, *BLOCK).agg(
         F.min("hit_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("f").alias("f0"), F.max("f").alias("f1"), F.min("row0").alias("r00"), F.max("row0").alias("r01"),
-        F.min("row1").alias("r10"), F.max("row1").alias("r11"), F.min(length).alias("l0"), F.max(length).alias("l1"), *[v.alias(k) for k, v in carried.items()]))
+        F.min("row1").alias("r10"), F.max("row1").alias("r11"), *[v.alias(k) for k, v in carried.items()]))
     links = materialize(block_links(blocks, keys, tol))
     roots = materialize(components(links.where("sure").select("a", "b")))
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
@@ -135,17 +145,18 @@ def _extremes(order: dict[str, str]) -> dict[str, Column]:
     return {f"best_{k}": F.min(_known(k)) if how == "at_most" else F.max(_known(k)) for k, how in order.items()}
 
 
-def best_representatives(rows: DataFrame, keys: list[str], order: dict[str, str], tol: float = 20.0) -> DataFrame:
-    """The surviving row of each detection: ``g``, ``hit_id``, the greatest or least value of each field, and ``n_rows``.
+def best_representatives(rows: DataFrame, keys: list[str], order: dict[str, str], tol: float = 20.0, extremes: bool = True) -> DataFrame:
+    """The surviving row of each detection: ``g``, ``hit_id``, the greatest or least value of each field if asked for, and ``n_rows``.
 
     rows: as in ``detection_blocks``. order: fields in the order of their importance; 'at_least' prefers the greatest
     value, 'at_most' the least. Null and NaN come last. Ties end at the lowest hit_id. Sources have no say in it. Rows are folded to
     blocks before anything is shuffled, and blocks to detections.
     """
-    blocks = detection_blocks(rows, keys, tol, b=_rank(order), **_extremes(order))
-    best = [(F.min if how == "at_most" else F.max)(f"best_{k}").alias(f"best_{k}") for k, how in order.items()]
+    order_ = order if extremes else {}
+    blocks = detection_blocks(rows, keys, tol, b=_rank(order), **_extremes(order_))
+    best = [(F.min if how == "at_most" else F.max)(f"best_{k}").alias(f"best_{k}") for k, how in order_.items()]
     out = blocks.groupBy("g").agg(F.max("b").alias("b"), *best, F.sum("n").alias("n_rows"))
-    return out.select("g", (-F.col("b.i")).alias("hit_id"), *[f"best_{k}" for k in order], "n_rows")
+    return out.select("g", (-F.col("b.i")).alias("hit_id"), *[f"best_{k}" for k in order_], "n_rows")
 
 
 # Truth discovery
