@@ -40,11 +40,19 @@ def nearest_in_time(left: DataFrame, right: DataFrame, within: float) -> DataFra
         return df
 
     probe = whole(left, ["id", "entity", "t", "freq", "tol"]).where("tol >= 0").dropDuplicates(["id"]).withColumn("w", _grid(F.col("tol")))
-    # Powers of two: at most some two thousand values, whatever the data.
-    grids = sorted(r[0] for r in probe.select("w").distinct().collect())
+    first, last = F.floor((F.col("freq") - F.col("tol")) / F.col("w")), F.floor((F.col("freq") + F.col("tol")) / F.col("w"))
+    probes = (
+        probe.withColumn("first", first).withColumn("last", last)
+        .withColumn("bucket", F.explode(F.sequence("first", "last")))
+        .withColumn("inside", (F.col("bucket") > F.col("first")) & (F.col("bucket") < F.col("last")))
+        .withColumn("tb", F.floor(F.col("t") / (2 * within)))
+        .select("id", "entity", "t", "freq", "tol", "w", "bucket", "inside", "tb")
+    )
+    # Right rows are indexed by the widths that their entity is asked for, and in buckets that some window touches.
+    widths = probe.groupBy("entity").agg(F.collect_set("w").alias("ws"))
     ev = whole(right, ["rid", "entity", "t", "freq"]).groupBy("entity", "t", "freq").agg(F.min("rid").alias("rid"))
-    ev = ev.withColumn("w", F.explode(F.array(*[F.lit(g) for g in grids]) if grids else F.array().cast("array<double>")))
-    ev = ev.withColumn("bucket", F.floor(F.col("freq") / F.col("w")))
+    ev = ev.join(widths, "entity").withColumn("w", F.explode("ws")).drop("ws").withColumn("bucket", F.floor(F.col("freq") / F.col("w")))
+    ev = ev.join(probes.select("entity", "w", "bucket").distinct(), ["entity", "w", "bucket"], "left_semi")
 
     # Nearest-neighbour intervals, found within segments of time that overlap by twice the tolerance.
     seg = within * SEGMENT
@@ -66,14 +74,6 @@ def nearest_in_time(left: DataFrame, right: DataFrame, within: float) -> DataFra
     # An interval is at most 2 * within long, hence in two time buckets or three.
     index = index.withColumn("tb", F.explode(F.sequence(F.floor(F.col("lo") / (2 * within)), F.floor(F.col("hi") / (2 * within)))))
 
-    first, last = F.floor((F.col("freq") - F.col("tol")) / F.col("w")), F.floor((F.col("freq") + F.col("tol")) / F.col("w"))
-    probes = (
-        probe.withColumn("first", first).withColumn("last", last)
-        .withColumn("bucket", F.explode(F.sequence("first", "last")))
-        .withColumn("inside", (F.col("bucket") > F.col("first")) & (F.col("bucket") < F.col("last")))
-        .withColumn("tb", F.floor(F.col("t") / (2 * within)))
-        .select("id", "entity", "t", "freq", "tol", "w", "bucket", "inside", "tb")
-    )
     pairs = probes.join(index, ["entity", "w", "bucket", "inside", "tb"]).where(F.col("t").between(F.col("lo"), F.col("hi")))
     dt = F.abs(F.col("t") - F.col("rt"))
     fits = pairs.where((dt <= within) & (F.abs(F.col("rfreq") - F.col("freq")) <= F.col("tol")))

@@ -31,7 +31,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving hit of each detection of two or more rows."""
-    return duplicates.best_representatives(_claims(spark, sf_dir), LINE, ORDER).select("hit_id")
+    return duplicates.best_representatives(_claims(spark, sf_dir), LINE, ORDER, extremes=False).select("hit_id")
 
 
 def p1_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,18 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document the tokens that its pieces hold together, and whether they follow each other without gap, fit their containers, and are divided only
+    where one container can't hold them. And of the containers, by document: the most tokens that one of them holds."""
+    places = p7_packed(spark, sf_dir)
+    load = places.groupBy("container_id").agg(F.sum("size").alias("load"))
+    p = places.join(load, "container_id").groupBy("doc_id").agg(
+        F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("token_from") + F.col("size")).alias("end"), F.max("load").alias("load"),
+        F.max(F.col("container_offset") + F.col("size")).alias("reach"))
+    whole = (F.col("end") == F.col("tokens")) & (F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048)))
+    return p.select("doc_id", whole.alias("whole"), ((F.col("load") <= 2048) & (F.col("reach") <= 2048)).alias("fits"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items of which twelve consecutive words stand in them."""
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -93,7 +105,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", "word", "n", "chain", "restored", "lost")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p1_supported, p2_found, p6_found, p7_packed, p7_fill, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fused, p1_supported, p2_found, p6_found, p7_packed, p7_fill, p7_audit, p8_found, p9_found, p9_restored)}
 
 _EVENTS = """e AS (SELECT *, lower(trim(replace(obs_id, '-', '_'))) AS o FROM track_events
   QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC NULLS LAST) = 1)"""
@@ -117,6 +129,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rs DESC NULLS LAST, s
     "p2_found": f"""
 WITH {_EVENTS} SELECT o AS obs_id, event_id FROM e WHERE score IS NOT NULL AND isfinite(score)
 QUALIFY row_number() OVER (PARTITION BY o ORDER BY score DESC, event_id) <= 10""",
+    # What holds of every packing, whatever it is: each document once, whole, in containers that aren't overfull.
+    "p7_audit": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE doc_id IS NOT NULL",
     "p6_found": f"""
 WITH {_EVENTS},
 s AS (SELECT DISTINCT signal_id, lower(trim(replace(obs_id, '-', '_'))) AS o, coalesce(injected_start_s, start_row * 65.536e-6::DOUBLE) AS t,

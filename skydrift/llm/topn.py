@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from skydrift.tables import discard, materialize
 
 #: Bisections per pass, and bits of a code word.
 STEPS, BITS = 6, 56
+#: A group with more than one of so many parts of all rows is spread over as many keys where rows meet the state of their group.
+PARTS = 32
 
 
 @F.pandas_udf(T.LongType())
@@ -52,10 +54,32 @@ def with_code(df: DataFrame, score: str, ident: str, code: str = "code") -> Data
     )
 
 
-def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
+def hot_groups(coded: DataFrame, group: str) -> list:
+    """Groups with more than one in PARTS of all rows: fewer than PARTS."""
+    counts = materialize(coded.groupBy(group).agg(F.count(F.lit(1)).alias("rows")))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("rows") * PARTS > total).select(group).collect()]
+
+
+def _spread(group: str, hot: list, part: Column) -> Column:
+    return F.when(F.col(group).isin(hot), part).otherwise(F.lit(0)) if hot else F.lit(0)
+
+
+def with_part(rows: DataFrame, group: str, hot: list) -> DataFrame:
+    """Adds the part of its group that each row goes to."""
+    return rows.withColumn("_part", _spread(group, hot, F.pmod(F.xxhash64("code"), F.lit(PARTS)).cast("int")))
+
+
+def for_parts(state: DataFrame, group: str, hot: list) -> DataFrame:
+    """The state of a group once for each of its parts."""
+    last = _spread(group, hot, F.lit(PARTS - 1))
+    return state.withColumn("_part", F.explode(F.sequence(F.lit(0), last)))
+
+
+def cutoffs(coded: DataFrame, group: str, n: int, hot: list = ()) -> DataFrame:
     """Per group the code at and above which exactly min(n, rows) rows lie; codes are distinct within a group.
 
-    Columns: group, ``cut`` (a prefix of a code; a code is at or above it if it is not less as an array).
+    Columns: group, ``cut`` (a prefix of a code; a code is at or above it if it is not less as an array). hot: groups to be spread.
     """
     def word(i):
         return F.element_at("code", (i + 1).cast("int"))
@@ -67,7 +91,7 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
                 F.when(F.col("rows") <= n, F.array().cast("array<bigint>")).alias("cut"))
     )
     done = [state.where("cut is not null").select(group, "cut")]
-    rows = coded.select(group, "code")
+    rows = with_part(coded.select(group, "code"), group, hot)
     while True:
         open_ = state.where("cut is null").drop("cut")
         if open_.isEmpty():
@@ -75,9 +99,9 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
         # Rows still in their group's interval.
         depth = F.size("prefix")
         active = (
-            rows.join(open_, group)
+            rows.join(for_parts(open_, group, hot), [group, "_part"])
             .where((F.slice("code", F.lit(1), depth) == F.col("prefix")) & word(depth).between(F.col("lo"), F.col("hi")))
-            .select(group, "code", "need", "lo", "hi", "prefix")
+            .select(group, "_part", "code", "need", "lo", "hi", "prefix")
         )
         active = materialize(active)
         w, after = word(F.size("prefix")), F.try_element_at("code", F.size("prefix") + 2)
@@ -102,9 +126,8 @@ def cutoffs(coded: DataFrame, group: str, n: int) -> DataFrame:
             F.when(exact, F.concat("prefix", F.array("min"))).alias("cut"),
         ))
         done.append(state.where("cut is not null").select(group, "cut"))
-        if rows is not coded:
-            discard(rows)
-        rows = active.select(group, "code")
+        discard(rows)
+        rows = active.select(group, "_part", "code")
         rows._skydrift_path = active._skydrift_path
     out = done[0]
     for d in done[1:]:
@@ -123,8 +146,9 @@ def top_n(df: DataFrame, group: str, score: str, ident: str, n: int) -> DataFram
     finite = s.isNotNull() & ~F.isnan(s) & (F.abs(s) != float("inf"))
     rows = df.where(finite & F.col(group).isNotNull() & F.col(ident).isNotNull()).groupBy(group, s.alias(score), ident).agg(F.lit(1))
     coded = materialize(with_code(rows.select(group, score, ident), score, ident))
-    cuts = cutoffs(coded, group, n)
-    return coded.join(cuts, group).where(F.col("code") >= F.col("cut")).select(group, ident, score)
+    hot = hot_groups(coded, group)
+    cuts = for_parts(cutoffs(coded, group, n, hot), group, hot)
+    return with_part(coded, group, hot).join(cuts, [group, "_part"]).where(F.col("code") >= F.col("cut")).select(group, ident, score)
 
 
 def latest_versions(events: DataFrame) -> DataFrame:
