@@ -48,18 +48,6 @@ def to_word(i: Column, q: Column) -> Column:
     return F.shiftleft(F.pmod(clip8(q), F.lit(256)), 8).bitwiseOR(F.pmod(clip8(i), F.lit(256)))
 
 
-def window_coefficient(n: Column, size: int, kind: str) -> Column:
-    """Coefficient n of a symmetric window: hann, hamming, blackman, else rectangular."""
-    x = 2 * F.pi() * n / F.lit(float(max(1, size - 1)))
-    if size < 2:
-        return F.lit(1.0)
-    return {
-        "hann": 0.5 - 0.5 * F.cos(x),
-        "hamming": 0.54 - 0.46 * F.cos(x),
-        "blackman": 0.42 - 0.5 * F.cos(x) + 0.08 * F.cos(2 * x),
-    }.get(kind.lower(), F.lit(1.0))
-
-
 def fine_offset_hz(bin_: Column, nfft: int, df_hz: float) -> Column:
     """Frequency of a fine bin against its channel's centre; bins are in ascending frequency."""
     return (bin_ - nfft // 2) * F.lit(df_hz / nfft)

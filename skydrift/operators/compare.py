@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skydrift.functions import exprs as X
 from skydrift.operators.greedy import assign
 from skydrift.tables import materialize
 

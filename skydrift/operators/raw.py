@@ -1,4 +1,4 @@
-"""Raw recordings: geometry, words, axes, segments and tiles. Built-in expressions only."""
+"""Raw recordings: words, axes, segments and tiles. Built-in expressions only."""
 
 from __future__ import annotations
 
@@ -9,14 +9,6 @@ from skydrift.functions import exprs as X
 from skydrift.params import Contract
 
 
-def geometry(files: DataFrame, contract: Contract) -> DataFrame:
-    """Rows of each file (path, length); fails on a length that isn't a whole number of rows."""
-    row = contract.channels * contract.bytes_per_cell
-    rows = F.when(F.col("length") % row == 0, F.expr(f"length div {row}")).otherwise(
-        F.raise_error(F.concat(F.col("path"), F.lit(": not a whole number of rows"))).cast("long"))
-    return files.select("path", "length", rows.alias("n_rows"))
-
-
 def filename_metadata(df: DataFrame, path: str) -> DataFrame:
     """Fields of names like software_source_band_receiver_beam.dat; null where a name has fewer parts."""
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")

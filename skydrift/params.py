@@ -120,9 +120,6 @@ class Candidate:
 @dataclass(frozen=True)
 class Review:
     top_k: int = 100
-    cutout_frames: int = 21
-    cutout_bins: int = 128
-    overview_max_frames: int = 320
     aligned_half_width_bins: int = 48
     aligned_profile_guard_bins: int = 4
     visual_evidence_min_peak_excess_db: float = 0.0

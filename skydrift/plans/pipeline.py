@@ -6,7 +6,6 @@ run, and give a bounded number of hits per tile. Events are formed from the hits
 
 from __future__ import annotations
 
-import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window

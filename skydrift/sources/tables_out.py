@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterator
 from html import escape
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +25,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def union_columns(tables: list[DataFrame]) -> DataFrame:
-    """Rows of all tables with the union of their columns, in the order in which they first occur."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-
-
 def flat(df: DataFrame) -> DataFrame:
     """Arrays and structs as JSON text, for formats without nesting."""
     nested = (T.ArrayType, T.StructType, T.MapType)
@@ -39,12 +35,17 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_html(df: DataFrame, path: str, title: str, limit: int = 1000) -> None:
-    """A page with a table of at most ``limit`` rows, which is what a page is for; the CSV has all."""
-    rows = flat(df).limit(limit).collect()
-    head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
-    Path(path).write_text(f"<!doctype html><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>", encoding="utf-8")
+def write_html(df: DataFrame, path: str, title: str) -> None:
+    """A folder of pages, each with a table of the rows of one batch; all rows are in them."""
+    head = f"<!doctype html><title>{escape(title)}</title><table><tr>{''.join(f'<th>{escape(c)}</th>' for c in df.columns)}</tr>"
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                body = "".join("<tr>" + "".join(f"<td>{'' if v is None else escape(str(v))}</td>" for v in r) + "</tr>" for r in zip(*[c.to_pylist() for c in b.columns]))
+                yield pa.RecordBatch.from_arrays([pa.array([f"{head}{body}</table>".replace("\n", " ")])], ["value"])
+
+    flat(df).mapInArrow(pages, "value string").write.mode("overwrite").text(path)
 
 
 def write_summary(path: str, values: dict) -> None:

@@ -1,7 +1,7 @@
 """Recordings end to end: the source, injection, search, review and the command line."""
 
 import json
-from dataclasses import replace
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -182,24 +182,36 @@ def test_zero_recording_and_command_line(spark, tmp_path):
     assert tables_out.read_jsonl(spark, str(tmp_path / "missing"), "a int").count() == 0
 
 
+def streamed(spark, folder, name, fn, schema):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    q = fn(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", str(folder / name)).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
 def test_streams_equal_batches(spark, sf, tmp_path):
-    src = spark.read.parquet(f"{sf}/events.parquet").repartition(3)
-    src.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for name, fn in (("hop", lambda d, late: windows.hopping(d, "ts", "event_type", "value", "6 hours", "2 hours", late)), ("ses", lambda d, late: windows.sessions(d, "ts", "user_id", "6 hours", late))):
-        q = fn(stream, "40 days").writeStream.outputMode("complete" if name == "hop" else "append").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-        want = fn(src, None)
-        got = spark.table(name)
-        if name == "hop":
-            rounded = lambda d: sorted((r["start"], r["event_type"], r["n"], round(r["total"], 4)) for r in d.collect())
-            assert rounded(got) == rounded(want)
-        else:
-            assert got.columns == want.columns
-    twice = src.union(src.limit(5))
-    assert twice.count() == src.count() + 5
-
-
-def test_replace_keeps_parameters():
-    assert replace(SMALL, search_tile_rows=5).drift == SMALL.drift and F is not None
+    """In append mode: what the watermark has passed is given once, and equals the batch."""
+    src = spark.read.parquet(f"{sf}/events.parquet").limit(400)
+    src = src.union(src.limit(5))
+    src.repartition(3).write.parquet(str(tmp_path / "in"))
+    end = src.agg(F.max("ts")).first()[0] + timedelta(days=90)
+    # A row long after the others lets the watermark pass them.
+    src.limit(1).withColumn("ts", F.lit(end).cast(src.schema["ts"].dataType)).select(src.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rounded = lambda d: sorted(tuple(round(v, 4) if isinstance(v, float) else str(v) for v in r) for r in d.collect())
+    hop = lambda d, late=None: windows.hopping(d, "ts", "event_type", "value", "6 hours", "2 hours", late)
+    assert rounded(streamed(spark, tmp_path, "hop", lambda d: hop(d, "40 days"), src.schema)) == rounded(hop(src))
+    ses = lambda d, late=None: windows.sessions(d, "ts", "user_id", "6 hours", late)
+    assert rounded(streamed(spark, tmp_path, "ses", lambda d: ses(d, "40 days"), src.schema)) == rounded(ses(src))
+    once = streamed(spark, tmp_path, "once", lambda d: windows.latest_versions(d.select("user_id", "ts"), "user_id", "ts", "400 days"), src.schema)
+    assert once.where(F.col("ts") < F.lit(end)).count() == src.select("user_id", "ts").distinct().count() < src.count()
+
+
+def test_sidecar_and_pages(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"k": [1]}')
+    assert config.load_sidecar(str(tmp_path / "a.json")) == {"k": [1]}
+    with pytest.raises(ValueError):
+        config.load_sidecar(str(tmp_path / "a.txt"))
+    tables_out.write_html(spark.range(2500).selectExpr("id", "'<&' AS t", "array(1, 2) AS a"), str(tmp_path / "p"), "x")
+    page = "".join(p.read_text() for p in (tmp_path / "p").glob("part*"))
+    assert page.count("<tr><td>") == 2500 and "&lt;&amp;" in page and "<td>2499</td>" in page and "[1,2]" in page
