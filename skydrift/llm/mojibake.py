@@ -412,7 +412,7 @@ def _find(words: DataFrame, vocabulary: DataFrame, margin: float | None, sure: d
 def _places(words: DataFrame, found: DataFrame, margin: float) -> DataFrame:
     """Found words with their records: those that a chain explains, and those of records in which the losses of all words add up to more than
     the margin."""
-    here = words.select("doc_id", "word", "n").join(found, "word")
+    here = materialize(words.select("doc_id", "word", "n").join(found, "word"))
     lost = here.groupBy("doc_id").agg(F.sum("loss").alias("l")).where(F.col("l") > margin).select("doc_id", F.lit(True).alias("loses"))
     here = here.join(lost, "doc_id", "left").withColumn("lost", F.coalesce("loses", F.lit(False)) & (F.coalesce("loss", F.lit(0.0)) > 0))
     return here.where("chain is not null or lost").select("doc_id", "word", "n", "chain", "restored", "gain", "lost", F.when(F.col("lost"), F.col("loss")).otherwise(0.0).alias("loss"))
