@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skydrift.tables import materialize
+
 #: Length of a time segment within which neighbours are sought, in tolerances.
 SEGMENT = 32
 #: Widening of the intervals against rounding; the exact test follows.
@@ -52,7 +54,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, within: float) -> DataFra
     widths = probe.groupBy("entity").agg(F.collect_set("w").alias("ws"))
     ev = whole(right, ["rid", "entity", "t", "freq"]).groupBy("entity", "t", "freq").agg(F.min("rid").alias("rid"))
     ev = ev.join(widths, "entity").withColumn("w", F.explode("ws")).drop("ws").withColumn("bucket", F.floor(F.col("freq") / F.col("w")))
-    ev = ev.join(probes.select("entity", "w", "bucket").distinct(), ["entity", "w", "bucket"], "left_semi")
+    ev = materialize(ev.join(probes.select("entity", "w", "bucket").distinct(), ["entity", "w", "bucket"], "left_semi"))  # read twice
 
     # Nearest-neighbour intervals, found within segments of time that overlap by twice the tolerance.
     seg = within * SEGMENT
