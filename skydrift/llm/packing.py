@@ -4,7 +4,7 @@
    projected to DIMS dimensions; the point's place along a Hilbert curve is the document's key.
 2. Documents are range-sorted by the key. One that is longer than a container fills containers of its own, and
    its remainder is an item like the others.
-3. Each range is packed in one pass: the next BLOCK items along the curve, greatest first, each into the fullest open
+3. Each range is packed in one pass: the next BLOCK items along the curve (fewer at the end of an Arrow batch), greatest first, each into the fullest open
    container that has room. Containers that stay open go on to the next block.
 """
 
